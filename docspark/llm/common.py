@@ -180,24 +180,44 @@ def _block(part: int, seq: int, held: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq], pa.int64()), pa.array([pack(table)], pa.binary())], ["block", "blob"])
 
 
-def components(edges: DataFrame, name: str = "components", most: int = 200_000) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b): rows (id, component) with the smallest id reachable.
 
     Alternating large-star and small-star rounds of equi-joins and grouped minima; each round's edges are a stored
-    table. Hubs are never gathered: the rounds only group by a node for its minimum. Null ends are dropped.
+    table, and rounds end when count and checksum of the edges stay. A hub's edges are never gathered in one place.
+    Edges with a null end or from a node to itself count for nothing.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
+    now, before = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name), None
     while True:
+        state = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1L))")).first()
+        if state == before or not state[0]:
+            return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        small = large.join(down, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = stored(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct(), name)
-        same = now.join(after, ["a", "b"], "left_anti").limit(1).count() + after.join(now, ["a", "b"], "left_anti").limit(1).count()
         unstore(now)
         now = after
-        if not same:
-            break
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+
+def sorted_groups(batches, key: str):
+    """Tables of the rows of one key each, from record batches sorted by that key; all small groups of a batch in one table.
+
+    Yields (table, bounds): group i has the rows bounds[i] to bounds[i + 1].
+    """
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        keys = table.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        if cut:
+            head = table.slice(0, cut).combine_chunks()
+            yield head, np.concatenate([[0], np.flatnonzero(np.diff(keys[:cut])) + 1, [cut]])
+        held = table.slice(cut)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), np.array([0, held.num_rows])
