@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.llm.bpe import encode_documents
 from docspark.llm.line_dedup import drop_common_lines
 from docspark.llm.minhash import near_duplicates
+from docspark.llm.packing import pack_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +24,27 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
-QUERIES = {"op3_line_dedup": op3_line_dedup, "op9_minhash_dedup": op9_minhash_dedup}
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_documents(table(spark, sf_dir, "documents"), word_bpe())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), word_bpe(), size=4096, end_id=2)
+
+
+QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
+    "op6_bpe_transducer": op6_bpe_transducer,
+    "op8_packing": op8_packing,
+    "op9_minhash_dedup": op9_minhash_dedup,
+}
 
 #: ASCII lower-casing and stripping of a line, in DuckDB.
 _KEY = "trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13))"
