@@ -9,6 +9,7 @@ from docspark.llm.bpe import encode_documents
 from docspark.llm.line_dedup import drop_common_lines
 from docspark.llm.minhash import near_duplicates
 from docspark.llm.packing import pack_documents
+from docspark.llm.substring_dedup import drop_repeated_passages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +40,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), word_bpe(), size=4096, end_id=2)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_passages(table(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_bpe_transducer": op6_bpe_transducer,
     "op8_packing": op8_packing,
     "op9_minhash_dedup": op9_minhash_dedup,
