@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,16 +96,15 @@ def _plausible(hub: np.ndarray, others: np.ndarray, bounds: list[int]) -> tuple[
 def forest(ids: np.ndarray, parts: np.ndarray, signatures: np.ndarray, failed: list, quota: int, bounds: list[int]) -> list[tuple[int, int]]:
     """Pairs to verify so that plausible links between different parts of a bucket are covered by few of them.
 
-    Members are taken in turn as hub. Plausible partners in another part give the best ``quota`` pairs for that part,
-    which then counts as joined; what fails verification is listed in ``failed`` and comes again with other pairs.
+    Members are taken in turn as hub. Plausible partners in another part give pairs, the best first; two parts with
+    ``quota`` pairs count as joined. What fails verification is listed in ``failed``, and other pairs come instead.
     """
     order = np.argsort(ids, kind="stable")
     ids, signatures, failed = ids[order], signatures[order], [failed[i] for i in order]
     _, root = np.unique(parts[order], return_inverse=True)
     out: list[tuple[int, int]] = []
+    tries: Counter[tuple[int, int]] = Counter()
     for h in range(len(ids) - 1):
-        if (root[h:] == root[h]).all() and (root == root[h]).all():
-            break
         other = np.flatnonzero(root[h + 1 :] != root[h]) + h + 1
         if not len(other):
             continue
@@ -116,9 +117,14 @@ def forest(ids: np.ndarray, parts: np.ndarray, signatures: np.ndarray, failed: l
             rows, matches = rows[fresh], matches[fresh]
         best = np.argsort(-matches, kind="stable")
         rows = rows[best]
-        for part in np.unique(root[rows]):
-            out += [(int(ids[h]), int(ids[x])) for x in rows[root[rows] == part][:quota]]
-            root[root == part] = root[h]
+        mine = int(root[h])
+        for part in np.unique(root[rows]).tolist():
+            both = (min(mine, part), max(mine, part))
+            chosen = rows[root[rows] == part][: quota - tries[both]]
+            out += [(int(ids[h]), int(ids[x])) for x in chosen]
+            tries[both] += len(chosen)
+            if tries[both] >= quota:
+                root[root == part] = mine
     return out
 
 
@@ -138,7 +144,7 @@ def _candidates(quota: int, bounds: list[int]):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept): groups of documents whose shingle sets link.
 
     A set holds the hashes of all runs of ``words`` words (all words at once, where there are fewer). Documents link
@@ -146,7 +152,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     banded signatures; large buckets are dealt to tasks by blocks of members. In a bucket, signatures are compared in
     batches, a pair ends when the posterior probability of a link falls under ``miss``, and survivors are verified on
     the full sets. Only pairs between parts not yet joined are verified: a round gives few for each two parts, and
-    while some fail, the next round gives others, four times as many, until none is left.
+    while some fail, the next round gives others, sixteen times as many, until none is left.
 
     Each row of docs gives a row. Rows with the same doc_id are one document, whose sets may differ; a null doc_id
     links with nothing and has a null component_id. A text that is null, empty or without words has an empty set and
@@ -193,7 +199,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
             joined = components(tested.filter("linked").select("a", "b"))
         if found == good:
             break
-        quota *= 4
+        quota *= 16
     out = signed.alias("s").join(classes.select("key1", "key2", "n_shingles", F.col("doc_id").alias("first")), ["key1", "key2", "n_shingles"], "left")
     if joined is not None:
         out = out.join(joined, out["first"] == joined["id"], "left").drop("id")
