@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.bpe import encode_documents
 from docspark.llm.line_dedup import drop_common_lines
+from docspark.llm.lm_scoring import score_documents
 from docspark.llm.minhash import near_duplicates
 from docspark.llm.packing import pack_documents
 from docspark.llm.substring_dedup import drop_repeated_passages
@@ -45,10 +46,15 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_bpe_transducer": op6_bpe_transducer,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_packing": op8_packing,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
