@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.bpe import encode_documents
+from docspark.llm.lattice_dedup import link_embeddings
 from docspark.llm.line_dedup import drop_common_lines
 from docspark.llm.lm_scoring import score_documents
 from docspark.llm.minhash import near_duplicates
@@ -50,7 +51,12 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_embeddings(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 QUERIES = {
+    "op1_lattice_dedup": op1_lattice_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_bpe_transducer": op6_bpe_transducer,
