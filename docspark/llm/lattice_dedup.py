@@ -148,6 +148,7 @@ def _verify(least: float):
             for x, y in zip(cuts[:-1], cuts[1:]):
                 for members in _groups_by_width(vectors.slice(x, y - x)):
                     members = members + x
+                    members = members[np.argsort(ids[members], kind="stable")]  # so that two vectors are in one order everywhere
                     unit, _ = _matrix(vectors.take(pa.array(members)))
                     like = np.triu(unit @ unit.T >= least, 1)
                     like &= labels[members][:, None] == labels[members]
