@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.bpe import encode_documents
+from docspark.llm.fingerprints import fingerprint_versions
 from docspark.llm.lattice_dedup import link_embeddings
 from docspark.llm.line_dedup import drop_common_lines
 from docspark.llm.lm_scoring import score_documents
@@ -55,6 +56,11 @@ def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(table(spark, sf_dir, "embeddings"), least=0.98)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint_versions(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES = {
     "op1_lattice_dedup": op1_lattice_dedup,
     "op3_line_dedup": op3_line_dedup,
@@ -63,6 +69,7 @@ QUERIES = {
     "op7_lm_scoring": op7_lm_scoring,
     "op8_packing": op8_packing,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 #: ASCII lower-casing and stripping of a line, in DuckDB.
