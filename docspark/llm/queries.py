@@ -12,7 +12,9 @@ from docspark.llm.line_dedup import drop_common_lines
 from docspark.llm.lm_scoring import score_documents
 from docspark.llm.minhash import near_duplicates
 from docspark.llm.packing import pack_documents
+from docspark.llm.pii import replace_pii
 from docspark.llm.substring_dedup import drop_repeated_passages
+from docspark.llm.toxicity import label_categories, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,10 +63,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_toxicity(docs, table(spark, sf_dir, "labels"), label_categories())
+    return out.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
 QUERIES = {
     "op1_lattice_dedup": op1_lattice_dedup,
+    "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_bpe_transducer": op6_bpe_transducer,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_packing": op8_packing,
