@@ -16,15 +16,15 @@ def line_key(line: Column) -> Column:
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """Rows (doc_id, text_hash, n_lines, n_dropped, kept): each text without the lines that at least min_docs documents hold.
+    """Rows (doc_id, text_hash, n_lines, n_dropped, kept, row): each text without the lines that at least min_docs documents hold.
 
     Lines are exploded and normalised, each key travels as a 128-bit hash, its distinct documents are counted, and
     the positions of common lines come back to their document, which is put together again in order. Documents are
     told apart by doc_id; rows that repeat an id count once, and each keeps its own result. A null doc_id is one
-    document. A null or empty text is one empty line, and an empty line has no key, so it always stays. Extra
-    columns are ignored; an empty table gives an empty result.
+    document. A null or empty text is one empty line, and an empty line has no key, so it always stays. ``row`` has
+    all columns but text as they were; an empty table gives an empty result.
     """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
     lines = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     key = line_key(F.col("line"))
     keyed = lines.select("doc_id", "text_hash", "at", key.alias("key")).filter(F.char_length("key") >= max(1, min_chars))
@@ -39,4 +39,4 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("at"))
     kept = F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: parts[i]), "\n"))
     n_dropped = F.when(F.col("at").isNull(), 0).otherwise(F.size("at"))
-    return out.select("doc_id", "text_hash", F.size(parts).cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"), kept.alias("kept"))
+    return out.select("doc_id", "text_hash", F.size(parts).cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"), kept.alias("kept"), "row")
