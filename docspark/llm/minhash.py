@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,7 +57,7 @@ def _sets(k: int):
                 sets = shingle_sets(part.column("text"), k)
                 begin = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(begin), pa.array(flat))], ["doc_id", "own"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(begin), pa.array(flat))], ["doc_id", "shingles"])
 
     return run
 
@@ -93,66 +91,97 @@ def _plausible(hub: np.ndarray, others: np.ndarray, bounds: list[int]) -> tuple[
     return rows, matches
 
 
-def forest(ids: np.ndarray, parts: np.ndarray, signatures: np.ndarray, failed: list, quota: int, bounds: list[int]) -> list[tuple[int, int]]:
-    """Pairs to verify so that plausible links between different parts of a bucket are covered by few of them.
+def plausible_forest(ids: np.ndarray, signatures: np.ndarray, bounds: list[int]) -> list[tuple[int, int]]:
+    """Pairs of a bucket's members that join all those between which a chain of plausible links runs."""
+    root = np.arange(len(ids))
+    out: list[tuple[int, int]] = []
+    for h in range(len(ids) - 1):
+        other = np.flatnonzero(root[h + 1 :] != root[h]) + h + 1
+        if not len(other):
+            continue
+        rows = other[_plausible(signatures[h], signatures[other], bounds)[0]]
+        for part in np.unique(root[rows]):
+            out.append((int(ids[h]), int(ids[rows[root[rows] == part][0]])))
+            root[root == part] = root[h]
+    return out
+
+
+def verified_forest(ids: np.ndarray, side: np.ndarray, signatures: np.ndarray, sets: list[np.ndarray], bounds: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links of a cluster, verified on the full sets, that join all members between which a chain of links runs.
 
-    Members are taken in turn as hub. Plausible partners in another part give pairs, the best first; two parts with
-    ``quota`` pairs count as joined. What fails verification is listed in ``failed``, and other pairs come instead.
+    Members are taken in turn; those not yet joined to one are compared by signature, and survivors verified, the best
+    first. With two sides only pairs across them are compared.
     """
-    order = np.argsort(ids, kind="stable")
-    ids, signatures, failed = ids[order], signatures[order], [failed[i] for i in order]
-    _, root = np.unique(parts[order], return_inverse=True)
+    root = np.arange(len(ids))
+    two = (side != side[0]).any()
     out: list[tuple[int, int]] = []
-    tries: Counter[tuple[int, int]] = Counter()
     for h in range(len(ids) - 1):
-        other = np.flatnonzero(root[h + 1 :] != root[h]) + h + 1
+        other = np.flatnonzero((root[h + 1 :] != root[h]) & ((side[h + 1 :] != side[h]) | (not two))) + h + 1
         if not len(other):
             continue
         rows, matches = _plausible(signatures[h], signatures[other], bounds)
-        if not len(rows):
-            continue
-        rows = other[rows]
-        if failed[h] is not None and len(failed[h]):
-            fresh = ~np.isin(ids[rows], failed[h])
-            rows, matches = rows[fresh], matches[fresh]
-        best = np.argsort(-matches, kind="stable")
-        rows = rows[best]
-        mine = int(root[h])
-        for part in np.unique(root[rows]).tolist():
-            both = (min(mine, part), max(mine, part))
-            chosen = rows[root[rows] == part][: quota - tries[both]]
-            out += [(int(ids[h]), int(ids[x])) for x in chosen]
-            tries[both] += len(chosen)
-            if tries[both] >= quota:
-                root[root == part] = mine
+        for x in other[rows[np.argsort(-matches, kind="stable")]].tolist():
+            a, b = sets[h], sets[x]
+            if root[x] == root[h] or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+                continue
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * common >= percent * (len(a) + len(b) - common):
+                out.append((int(ids[h]), int(ids[x])))
+                root[root == root[x]] = root[h]
     return out
 
 
-def _candidates(quota: int, bounds: list[int]):
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*out) if out else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(-1, HASHES)
+
+
+def _join_plausible(bounds: list[int]):
     def run(batches):
-        for table, cuts in sorted_groups(batches, "bucket"):
-            ids, parts = table.column("doc_id").to_numpy(), table.column("part").to_numpy()
-            signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(ids), HASHES)
-            failed = table.column("failed").to_pylist()
+        for table, cuts in sorted_groups(batches, "key"):
+            ids, signatures = table.column("doc_id").to_numpy(), _signatures(table)
+            yield _pairs([p for x, y in zip(cuts[:-1], cuts[1:]) if y - x > 1 for p in plausible_forest(ids[x:y], signatures[x:y], bounds)])
+
+    return run
+
+
+def _join_verified(bounds: list[int], percent: int):
+    def run(batches):
+        for table, cuts in sorted_groups(batches, "key"):
+            ids, side, signatures = table.column("doc_id").to_numpy(), table.column("own").to_numpy(), _signatures(table)
+            own = table.column("shingles").combine_chunks()
+            at, flat = own.offsets.to_numpy(), own.values.to_numpy().view(np.uint64)
             out: list[tuple[int, int]] = []
             for x, y in zip(cuts[:-1], cuts[1:]):
                 if y - x > 1:
-                    out += forest(ids[x:y], parts[x:y], signatures[x:y], failed[x:y], quota, bounds)
-            a, b = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    sets = [flat[at[i] : at[i + 1]] for i in range(x, y)]
+                    out += verified_forest(ids[x:y], side[x:y], signatures[x:y], sets, bounds, percent)
+            yield _pairs(out)
 
     return run
 
 
+def _in_blocks(members: DataFrame, group: str, most: int) -> DataFrame:
+    """Members of each group of two or more, dealt to pairs of blocks of about ``most``: (key, doc_id, own)."""
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(group, F.ceil(F.col("n") / most).cast("int").alias("cuts"))
+    met = members.select(group, "doc_id").join(sizes, group).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    return met.select(group, "doc_id", "own", F.explode(pairs).alias("p")).select("doc_id", "own", F.xxhash64(group, "p.i", "p.j").alias("key"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept): groups of documents whose shingle sets link.
 
     A set holds the hashes of all runs of ``words`` words (all words at once, where there are fewer). Documents link
     where 100 * intersection >= percent * union. Equal sets are one class from the start. Classes meet in buckets of
-    banded signatures; large buckets are dealt to tasks by blocks of members. In a bucket, signatures are compared in
-    batches, a pair ends when the posterior probability of a link falls under ``miss``, and survivors are verified on
-    the full sets. Only pairs between parts not yet joined are verified: a round gives few for each two parts, and
-    while some fail, the next round gives others, sixteen times as many, until none is left.
+    banded signatures, where signatures are compared in batches: a pair ends when the posterior probability of a link
+    falls under ``miss``. A forest of the survivors joins classes into clusters; a cluster's full sets then meet, and
+    survivors between members not yet joined are verified exactly. Buckets and clusters of more than GROUP members
+    are dealt to tasks by pairs of blocks. Only forests leave a task, so rows stay in proportion to the members.
 
     Each row of docs gives a row. Rows with the same doc_id are one document, whose sets may differ; a null doc_id
     links with nothing and has a null component_id. A text that is null, empty or without words has an empty set and
@@ -164,47 +193,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     classes = stored(full.groupBy("key1", "key2", "n_shingles").agg(F.min_by(F.struct("doc_id", "signature"), "doc_id").alias("x")).select("key1", "key2", "n_shingles", "x.*"), "classes")
     width = 2 * ROWS
     band = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda j: F.xxhash64(j, F.substring("signature", j * width + 1, F.lit(width))))
-    banded = classes.select("doc_id", F.explode(band).alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = banded.join(sizes, "bucket").withColumn("cuts", F.ceil(F.col("n") / GROUP).cast("int"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    met = met.select("doc_id", "bucket", F.explode(pairs).alias("p")).select("doc_id", F.xxhash64("bucket", "p.i", "p.j").alias("bucket"))
-    met = stored(met.join(classes.select("doc_id", "signature"), "doc_id"), "met")
-    wanted = met.select("doc_id").distinct()
-    sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, own array<long>"), "sets")
-
-    bounds, tested, joined, quota = least_matches(percent, miss), None, None, 1
-    while True:
-        if joined is None:
-            now = met.withColumns({"part": F.col("doc_id"), "failed": F.lit(None).cast("array<long>")})
-        else:
-            lost = tested.filter("NOT linked")
-            lost = lost.select("a", "b").union(lost.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("failed"))
-            now = met.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
-            open_ = now.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("bucket")
-            now = now.join(open_, "bucket", "left_semi").join(lost.withColumnRenamed("a", "doc_id"), "doc_id", "left")
-        now = now.select("bucket", "doc_id", "part", "signature", "failed").repartition("bucket").sortWithinPartitions("bucket")
-        edges = now.mapInArrow(_candidates(quota, bounds), "a long, b long").distinct()
-        a = sets.select(F.col("doc_id").alias("a"), F.col("own").alias("own_a"))
-        b = sets.select(F.col("doc_id").alias("b"), F.col("own").alias("own_b"))
-        common = F.size(F.array_intersect("own_a", "own_b"))
-        linked = 100 * common >= percent * (F.size("own_a") + F.size("own_b") - common)
-        new = stored(edges.join(b, "b").join(a, "a").select("a", "b", linked.alias("linked")), "tested")
-        found, good = new.agg(F.count(F.lit(1)), F.count_if("linked")).first()
-        if not found:
-            break
-        tested = new if tested is None else stored(tested.unionByName(new), "tested")
-        if good or joined is None:
-            joined = components(tested.filter("linked").select("a", "b"))
-        if found == good:
-            break
-        quota *= 16
+    signatures = classes.select("doc_id", "signature")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition("key").sortWithinPartitions("key")
+
+    bounds = least_matches(percent, miss)
+    met = _in_blocks(classes.select("doc_id", F.explode(band).alias("bucket")), "bucket", GROUP).join(signatures, "doc_id")
+    near = components(dealt(met).mapInArrow(_join_plausible(bounds), "a long, b long"), "plausible")
+    clusters = stored(_in_blocks(near.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")).unionByName(near.select(F.col("component").alias("doc_id"), F.col("component").alias("cluster")).distinct()), "cluster", GROUP // 4), "clusters")
+    wanted = clusters.select("doc_id").distinct()
+    sets = stored(docs.hint("merge").join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "sets")
+    full_sets = clusters.join(signatures, "doc_id").join(sets, "doc_id")
+    joined = components(dealt(full_sets).mapInArrow(_join_verified(bounds, percent), "a long, b long"), "verified")
     out = signed.alias("s").join(classes.select("key1", "key2", "n_shingles", F.col("doc_id").alias("first")), ["key1", "key2", "n_shingles"], "left")
-    if joined is not None:
-        out = out.join(joined, out["first"] == joined["id"], "left").drop("id")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
+    out = out.join(joined, out["first"] == joined["id"], "left").drop("id")
     whole = F.when(F.col("n_shingles") > 0, F.coalesce("component", "first")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), whole).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
