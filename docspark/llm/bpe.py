@@ -53,7 +53,7 @@ class Model:
             self.pairs.setdefault(vocab[left] << 20 | vocab[right], rank << 20 | vocab[left + right])
         self.tokens = {i: t for t, i in [*vocab.items(), *self.special.items()]}
         self.spec = spec
-        self._library = None
+        self._library = self._table = None
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word: of all neighbouring pairs, the one of least rank is merged first, leftmost among equals."""
@@ -76,6 +76,60 @@ class Model:
                 scores[i] = find(parts[i] << 20 | parts[i + 1], _NONE)
         return parts
 
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """The ids of many words at once, as little-endian unsigned 32-bit integers: one merge for each word in a step."""
+        out: list[bytes] = [b""] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        low = 0
+        for high in (6, 10, 16, 32):
+            rows = np.flatnonzero((lengths > low) & (lengths <= high))
+            for at in range(0, len(rows), 20_000):
+                own = rows[at : at + 20_000]
+                ids, n = self._merge_rows([words[i] for i in own.tolist()], lengths[own], high)
+                flat, ends = ids.astype("<u4")[np.arange(high) < n[:, None]].tobytes(), np.cumsum(n * 4).tolist()
+                for i, x, y in zip(own.tolist(), [0, *ends[:-1]], ends):
+                    out[i] = flat[x:y]
+            low = high
+        for i in np.flatnonzero(lengths > low).tolist():
+            own = self.merge(words[i])
+            out[i] = struct.pack(f"<{len(own)}I", *own)
+        return out
+
+    def _merge_rows(self, words: list[bytes], lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        if self._table is None:
+            self._table = PairTable(self.pairs)
+            self._inner, self._outer = np.array(self.inner), np.array(self.outer)
+        n, place = lengths.copy(), np.arange(width)
+        ids = self._inner[np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)]
+        every = np.arange(len(words))
+        last = np.fromiter((w[-1] for w in words), np.int64, len(words))
+        ids[every, n - 1] = self._outer[last]
+        score = np.full((len(words), width), _NONE)
+        score[:, :-1] = np.where(place[:-1] < (n - 1)[:, None], self._table.find(ids[:, :-1] << 20 | ids[:, 1:]), _NONE)
+        live, done, counts = every, np.zeros((len(words), width), np.int64), np.zeros(len(words), np.int64)
+        while True:
+            at = score.argmin(axis=1)
+            best = score[np.arange(len(live)), at]
+            over = best == _NONE
+            if over.any():
+                done[live[over]], counts[live[over]] = ids[over], n[over]
+                stay = ~over
+                live, ids, score, n, at, best = live[stay], ids[stay], score[stay], n[stay], at[stay], best[stay]
+            if not len(live):
+                return done, counts
+            rows = np.arange(len(live))
+            ids[rows, at] = best & 0xFFFFF
+            after = place > at[:, None]
+            shifted = np.concatenate([ids[:, 1:], ids[:, -1:]], axis=1)
+            ids = np.where(after, shifted, ids)
+            shifted = np.concatenate([score[:, 1:], np.full((len(live), 1), _NONE)], axis=1)
+            score = np.where(after, shifted, score)
+            n -= 1
+            right, left = at < n - 1, at > 0
+            score[rows, at] = np.where(right, self._table.find(ids[rows, at] << 20 | ids[rows, np.minimum(at + 1, width - 1)]), _NONE)
+            before = np.maximum(at - 1, 0)
+            score[rows[left], before[left]] = self._table.find(ids[rows, before] << 20 | ids[rows, at])[left]
+
     def _merge_long(self, parts: list[int]) -> list[int]:
         """The same with a heap over a linked list, for words of any length."""
         n, find = len(parts), self.pairs.get
@@ -116,6 +170,35 @@ class Model:
         return Model, (self.spec,)
 
 
+class PairTable:
+    """Pairs to scores as arrays: an open-addressed table, probed for many pairs at once."""
+
+    def __init__(self, pairs: dict[int, int]):
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        size = 1 << self.bits
+        self.keys, self.scores = np.full(size, -1, np.int64), np.full(size, _NONE, np.int64)
+        for key, score in pairs.items():
+            slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & (size - 1)
+            self.keys[slot], self.scores[slot] = key, score
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each pair's score, _NONE where it never merges."""
+        with np.errstate(over="ignore"):
+            slot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.scores[slot], _NONE)
+        open_ = np.nonzero((held != keys) & (held >= 0))
+        while len(open_[0]):
+            slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
+            held = self.keys[slot[open_]]
+            hit = held == keys[open_]
+            out[tuple(x[hit] for x in open_)] = self.scores[slot[tuple(x[hit] for x in open_)]]
+            open_ = tuple(x[(held >= 0) & ~hit] for x in open_)
+        return out
+
+
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """The minimal acyclic automaton of the words, as bytes to map.
 
@@ -209,45 +292,64 @@ class Lexicon:
         return self.ids[self.begin[number] : self.begin[number + 1]].tobytes()
 
 
-class Words(dict):
-    """Word to id bytes: a bounded memo in front of the automaton, and of merging for what the automaton lacks."""
+class Encoder(dict):
+    """Whole texts to id bytes, by way of a bounded memo of words and of what else stands between white space.
 
-    def __init__(self, model: Model, lexicon: Lexicon, most: int):
+    A full memo becomes the old one, from which what is still used comes back. Words come from the automaton, or are
+    merged where it lacks them.
+    """
+
+    def __init__(self, model: Model, lexicon: Lexicon, most: int = 300_000):
         super().__init__()
         self.model, self.lexicon, self.most, self.old = model, lexicon, most, {}
 
-    def __missing__(self, word: str) -> bytes:
-        if (held := self.old.get(word)) is not None:
-            return remember(self, word, held)
+    def remember(self, key: str, value: bytes) -> bytes:
+        if len(key) <= 48:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+    def __missing__(self, chunk: str) -> bytes:
+        if (found := self.old.get(chunk)) is None:
+            parts = [chunk] if chunk.isalpha() else self.model.words.findall(chunk)
+            found = b"".join(map(self.__getitem__, parts)) if parts != [chunk] else self._word(chunk)
+        return self.remember(chunk, found)
+
+    def _word(self, word: str) -> bytes:
         raw = word.encode("utf-8", "surrogatepass")
         found = self.lexicon.find(raw)
         if found is None:
             ids = self.model.merge(raw)
             found = struct.pack(f"<{len(ids)}I", *ids)
-        return remember(self, word, found)
-
-
-def remember(memo: dict, key: str, value: bytes) -> bytes:
-    """Keep short keys; a full memo becomes the old one, from which what is still used comes back."""
-    if len(key) <= 48:
-        if len(memo) >= memo.most:
-            memo.old = dict(memo)
-            memo.clear()
-        memo[key] = value
-    return value
-
-
-class Encoder(dict):
-    """Whole texts to id bytes, by way of a bounded memo of what stands between white space."""
-
-    def __init__(self, model: Model, lexicon: Lexicon, most: int = 200_000):
-        super().__init__()
-        self.model, self.most, self.old, self.words = model, most, {}, Words(model, lexicon, most)
-
-    def __missing__(self, chunk: str) -> bytes:
-        if (found := self.old.get(chunk)) is None:
-            found = b"".join(map(self.words.__getitem__, self.model.words.findall(chunk)))
-        return remember(self, chunk, found)
+        return found
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids; words that neither memo nor lexicon holds are merged together first."""
+        model, find = self.model, self.lexicon.find
+        chunks: list[list[str] | None] = []
+        for text in texts:
+            if not text.isascii() and model.unsure(text) or any(s in text for s in model.special):
+                chunks.append(None)
+            else:
+                text = model.normal(text)
+                chunks.append(None if _ODD_SPACE.search(text) else text.split())
+        new = set().union(*(c for c in chunks if c is not None)).difference(self, self.old)
+        words = set(filter(str.isalpha, new))
+        for c in new - words:
+            words.update(model.words.findall(c))
+        lacking = []
+        for word in words:
+            if word not in self and word not in self.old:
+                raw = word.encode("utf-8", "surrogatepass")
+                if (found := find(raw)) is None:
+                    lacking.append((word, raw))
+                else:
+                    self.remember(word, found)
+        for (word, _), ids in zip(lacking, model.merge_many([raw for _, raw in lacking])):
+            self.remember(word, ids)
+        return [self.encode(t) if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, chunks)]
 
     def encode(self, text: str) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit integers; special tokens in the text keep their own ids."""
@@ -258,7 +360,7 @@ class Encoder(dict):
         if not any(s in text for s in model.special):
             normal = model.normal(text)
             if _ODD_SPACE.search(normal):
-                return b"".join(map(self.words.__getitem__, model.words.findall(normal)))
+                return b"".join(map(self.__getitem__, model.words.findall(normal)))
             return b"".join(map(self.__getitem__, normal.split()))
         out, at = [], 0
         for m in model.split.finditer(text):
@@ -335,7 +437,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [encoder.encode(t or "") for t in part.column("text").to_pylist()]
+                ids = encoder.encode_many([t or "" for t in part.column("text").to_pylist()])
                 columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([decode(x, tokens) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
 

@@ -142,8 +142,9 @@ def pack_documents(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 rows = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    ids = memoryview(encoder.encode(text or "") + end)
+                packed = encoder.encode_many([t or "" for t in part.column("text").to_pylist()])
+                for doc, own in zip(part.column("doc_id").to_pylist(), packed):
+                    ids = memoryview(own + end)
                     n = len(ids) // 4
                     rows += [(doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n) for start, length in cut(n, size)]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), [part.schema.field("doc_id").type] + [pa.int64()] * 4)]
