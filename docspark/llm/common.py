@@ -133,10 +133,10 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int, seed: int = 0)
     return mix(out), begin
 
 
-def pack(table: pa.Table | pa.RecordBatch) -> bytes:
+def pack(table: pa.Table | pa.RecordBatch, level: int = 3) -> bytes:
     """A table as compressed bytes."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as out:
         out.write(table)
     return sink.getvalue().to_pybytes()
 
@@ -145,7 +145,7 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def blocks(docs: DataFrame, rows: int = 4000, size: int = 12_000_000, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+def blocks(docs: DataFrame, rows: int = 3000, size: int = 8_000_000, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """Documents packed into blocks (block, blob) of neighbouring rows, stored in the shared folder.
 
     A block ends after ``rows`` documents or ``size`` bytes of text, so its memory is bounded but for a single long text.

@@ -87,7 +87,7 @@ def _send(size: int, buckets: int):
                 for x, y in zip(cuts[:-1], cuts[1:]):
                     own = order[x:y]
                     sent = pa.table({"at": pa.array(own), "doc": pa.array(runs.sort[runs.doc[runs.origin[own]]]), "string": pa.array([runs.strings[i] for i in own.tolist()], pa.binary())})
-                    rows.append((int(bucket[own[0]]), block, pack(sent)))
+                    rows.append((int(bucket[own[0]]), block, pack(sent, 6)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["bucket", "block", "blob"])
 
