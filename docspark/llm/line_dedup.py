@@ -34,7 +34,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
     lines = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     long_enough = lines.filter(bare(F.col("line")) != "" if min_chars <= 1 else F.char_length(bare(F.col("line"))) >= min_chars)
-    keyed = long_enough.select("doc_id", "text_hash", "at", F.unhex(F.md5(line_key(F.col("line")))).alias("key"))
+    # never null, so that no join adds a test for null, which would work out the key twice
+    key = F.coalesce(F.unhex(F.md5(line_key(F.col("line")))), F.lit(b""))
+    keyed = long_enough.select("doc_id", "text_hash", "at", key.alias("key"))
     seen = keyed.groupBy("key", "doc_id").count().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     common = seen.filter(F.col("n") >= min_docs).select("key")
     hits = keyed.join(common, "key", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("at"))
