@@ -15,6 +15,7 @@ import re
 import struct
 import tempfile
 import unicodedata
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -397,23 +398,23 @@ def frequent_words(docs: DataFrame, model: Model, sample: int, most: int) -> lis
     return [r.word.encode("utf-8", "surrogatepass") for r in top.select("word").collect()]
 
 
-def encoder_parts(docs: DataFrame, path: str, sample: int = 2000, most: int = 30_000) -> tuple[Model, bytes]:
-    """The model and the compiled lexicon, for a broadcast: the vocabulary's fixed size and at most ``most`` words."""
+def encoder_parts(docs: DataFrame, path: str, sample: int = 2000, most: int = 30_000) -> tuple[str, Model, bytes]:
+    """A name, the model and the compiled lexicon, for a broadcast: the vocabulary's fixed size and at most ``most`` words."""
     model = Model(read_spec(path))
     words = frequent_words(docs, model, sample, most)
-    return model, compile_lexicon({w: model.merge(w) for w in words})
+    return uuid.uuid4().hex, model, compile_lexicon({w: model.merge(w) for w in words})
 
 
-_HELD: dict[int, Encoder] = {}
+_HELD: dict[str, Encoder] = {}
 
 
 def worker_encoder(shared) -> Encoder:
-    """The Python worker's encoder of a broadcast (model, lexicon); one is kept."""
-    key = id(shared.value[0])
-    if key not in _HELD:
+    """The Python worker's encoder of a broadcast from encoder_parts; one is kept."""
+    name, model, lexicon = shared.value
+    if name not in _HELD:
         _HELD.clear()
-        _HELD[key] = Encoder(shared.value[0], Lexicon(shared.value[1]))
-    return _HELD[key]
+        _HELD[name] = Encoder(model, Lexicon(lexicon))
+    return _HELD[name]
 
 
 def decode(ids: bytes, tokens: dict[int, str]) -> str:

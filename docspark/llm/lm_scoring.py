@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -351,4 +352,4 @@ def score_documents(docs: DataFrame, filter_bytes: int = 128 << 20) -> DataFrame
     told = masses.mapInArrow(_answer_masses, "block long, kind int, blob binary")
     all_ = packed.select("block", F.lit(0).alias("kind"), "blob").unionByName(answers.select("block", "kind", "blob")).unionByName(told)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt(all_, "block").mapInArrow(_score(shared, str(id(segments)), buckets, least, total, distinct), schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    return dealt(all_, "block").mapInArrow(_score(shared, uuid.uuid4().hex, buckets, least, total, distinct), schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
