@@ -63,6 +63,9 @@ def convert(spark: SparkSession, paths: str | list[str], options: Options) -> tu
         images = None
         if options.images:
             images = sinks.name_images(sources.good(sources.read_images(files)), options.images)
+            listed = documents.picture_lists(sources.good(sources.read_pictures(files)), images)
+            after = F.when(F.col("pictures").isNull(), F.lit("")).otherwise(F.concat(F.lit("\n"), "pictures"))
+            out = out.join(listed, ["path", "sheet_no"], "left").select("path", "sheet_no", "sheet", F.concat("text", after).alias("text"))
         text = documents.markdown(documents.resolve_images(documents.without_furniture(shown), images))
         out = out.unionByName(text.select("path", F.lit(0).alias("sheet_no"), F.lit(None).cast("string").alias("sheet"), "text"))
         failed = failed.unionByName(sources.errors(blocks))

@@ -95,3 +95,16 @@ def separators(blocks: DataFrame) -> DataFrame:
     before = F.lag("kind").over(Window.partitionBy("path").orderBy("seq"))
     sep = F.when(before.isNull(), F.lit("")).when((before == "list_item") & (F.col("kind") == "list_item"), F.lit("\n")).otherwise(F.lit("\n\n"))
     return blocks.withColumn("separator", sep)
+
+
+def picture_lists(pictures: DataFrame, images: DataFrame) -> DataFrame:
+    """(path, sheet_no, pictures): the saved pictures of each sheet as Markdown paragraphs, in their order.
+
+    pictures has (path, sheet_no, seq, run), images (path, part, source); a picture whose part was not saved goes.
+    """
+    named = images.select("path", F.col("part").alias("own_part"), "source")
+    shown = pictures.withColumn("own_part", F.col("run.image_part")).join(named, ["path", "own_part"])
+    md = render_inline(F.array(F.col("run").withField("image_source", F.col("source"))))
+    parts = F.array_sort(F.collect_list(F.struct("seq", md.alias("md"))))
+    listed = shown.groupBy("path", "sheet_no").agg(parts.alias("parts"))
+    return listed.select("path", "sheet_no", F.concat(F.array_join(F.transform("parts", lambda p: p["md"]), "\n\n"), F.lit("\n")).alias("pictures"))

@@ -85,6 +85,7 @@ def test_markdown(spark, folder):
     )
     assert texts(results, "c.pptx")[None] == "## Slide 1: Hello\n\n- **point**\n    1. n\n\nfree\n\n### Notes\n\nsay this\n\n---\n\n## Slide 2 (hidden): Bye\n\n- **last**\n    1. n\n\nfree\n"
     assert texts(results, "a.xlsx")["One"].splitlines()[:3] == ["| Region | Units\\|x | When                |         |", "| ------ | -------- | ------------------- | ------- |", "| a\\*b   | 3        | 2024-01-01          |         |"]
+    assert texts(results, "a.xlsx")["One"].endswith(" |\n\n![high](img/p.png)\n\n![low](img/p.png)\n")
     assert texts(results, "noname") == texts(results, "a.xlsx")
 
 
