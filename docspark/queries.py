@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from docspark.functions import text as X
 from docspark.functions.numbers import float_text
-from docspark.operators import links, runs, tables
+from docspark.operators import documents, links, runs, tables
 from docspark.plans.plan import matrix_rows
+from docspark.sources import files as sources
+from docspark.sources import samples
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -103,8 +105,8 @@ SELECT c_custkey, '  {{' || chr(10) || '    "c_custkey": ' || c_custkey || ',' |
 def json_rows_typed_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     cells = F.array(*[tables.cell(own[f.name], f.dataType) for f in own.schema.fields])
-    rows = own.select(F.lit("customer").alias("path"), F.lit(0).alias("sheet_no"), F.col("c_custkey").alias("row_no"), cells.alias("cells"))
-    return tables.json_rows(rows, own.columns, typed=True).select(F.col("row_no").alias("c_custkey"), "line")
+    rows = own.select(F.lit("customer").alias("path"), F.lit(0).alias("sheet_no"), (F.col("c_custkey") + 1).alias("row_no"), cells.alias("cells"))
+    return tables.json_rows(rows, own.columns, typed=True).select((F.col("row_no") - 1).alias("c_custkey"), "line")
 
 
 @query(f"SELECT c_custkey, {_NUMBER} AS text FROM customer")
@@ -395,3 +397,56 @@ SELECT k AS kind, t AS target, CASE WHEN k IN ('docx', 'pptx') THEN t IN ('markd
 """)
 def plan_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(matrix_rows(), "kind string, target string, allowed boolean")
+
+
+def _nations(spark: SparkSession, sf_dir: str, write, kind: str, name: str) -> DataFrame:
+    """A file for each region, written from its nations, as the readers take files."""
+
+    @F.pandas_udf("binary")
+    def content(rows):
+        return rows.map(lambda region: write([["key", "name"], *([str(n["k"]), n["n"]] for n in sorted(region, key=lambda n: n["k"]))]))
+
+    own = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n"))).alias("rows"))
+    files = own.select(F.concat(F.lit("region-"), F.col("n_regionkey").cast("string"), F.lit("." + name)).alias("path"), F.lit(kind).alias("kind"), content("rows").alias("content"))
+    return files.withColumn("length", F.octet_length("content").cast("long"))
+
+
+def _delimited(rows: list[list[str]]) -> bytes:
+    return "".join(",".join(f'"{v}"' for v in row) + "\r\n" for row in rows).encode("utf-8-sig")
+
+
+_REGION_ROWS = """
+WITH n AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row_no FROM nation),
+every AS (SELECT n_regionkey, row_no, CAST(n_nationkey AS VARCHAR) AS a, n_name AS b FROM n UNION ALL SELECT DISTINCT n_regionkey, 0, 'key', 'name' FROM nation)
+"""
+
+
+def _table_roundtrip(spark: SparkSession, sf_dir: str, write, name: str) -> DataFrame:
+    rows = sources.good(sources.read_tables(_nations(spark, sf_dir, write, name, name)))
+    return rows.select("path", "row_no", X.delimited_row(tables.texts(F.col("cells")), ",").alias("line"))
+
+
+@query(_REGION_ROWS + "SELECT 'region-' || n_regionkey || '.xlsx' AS path, row_no, a || ',' || b AS line FROM every")
+def xlsx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table_roundtrip(spark, sf_dir, samples.workbook, "xlsx")
+
+
+@query(_REGION_ROWS + "SELECT 'region-' || n_regionkey || '.csv' AS path, row_no, a || ',' || b AS line FROM every")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table_roundtrip(spark, sf_dir, _delimited, "csv")
+
+
+@query(_REGION_ROWS + """
+SELECT 'region-' || n_regionkey || '.docx' AS path, '# key name' || chr(10) || chr(10) || string_agg('**' || a || '** ' || replace(b, '_', '\\_'), chr(10) || chr(10) ORDER BY row_no) FILTER (row_no > 0) || chr(10) AS text FROM every GROUP BY n_regionkey
+""")
+def docx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = sources.read_blocks(_nations(spark, sf_dir, samples.document, "docx", "docx"))
+    return documents.markdown(sources.good(blocks))
+
+
+@query(_REGION_ROWS + """
+SELECT 'region-' || n_regionkey || '.pptx' AS path, string_agg(CASE WHEN row_no > 0 THEN '---' || chr(10) || chr(10) ELSE '' END || '## Slide ' || (row_no + 1) || ': ' || a || chr(10) || chr(10) || '- ' || replace(b, '_', '\\_'), chr(10) || chr(10) ORDER BY row_no) || chr(10) AS text FROM every GROUP BY n_regionkey
+""")
+def pptx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = sources.read_blocks(_nations(spark, sf_dir, samples.deck, "pptx", "pptx"))
+    return documents.markdown(sources.good(blocks))
