@@ -68,25 +68,24 @@ class Linear:
         return out
 
 
-def fit(keys: np.ndarray, of: np.ndarray, label: np.ndarray, earlier: np.ndarray) -> Linear:
-    """Choose the features whose log odds differ most surely between the classes, then fit with a ridge penalty."""
+def fit(found: np.ndarray, codes: np.ndarray, of: np.ndarray, label: np.ndarray, earlier: np.ndarray) -> Linear:
+    """A model from features found[codes] of documents ``of``. Choose the features whose log odds differ most surely between the classes, then fit with a ridge penalty."""
     n, yes = len(label), int(label.sum())
     if not 0 < yes < n:
         rate = (yes + 0.5) / (n + 1)
         return Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(earlier.shape[1]), float(np.log(rate / (1 - rate))))
-    found, back = np.unique(keys, return_inverse=True)
-    a = np.bincount(back, label[of].astype(float), len(found))
-    b = np.bincount(back, minlength=len(found)) - a
+    a = np.bincount(codes[label[of] > 0], minlength=len(found)).astype(float)
+    b = np.bincount(codes, minlength=len(found)) - a
     odds = np.log((a + 0.5) / (yes - a + 0.5)) - np.log((b + 0.5) / (n - yes - b + 0.5))
     sure = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (yes - a + 0.5) + 1 / (b + 0.5) + 1 / (n - yes - b + 0.5))
     sure[a + b < 4] = 0
     chosen = np.sort(np.argsort(-sure, kind="stable")[:FEATURES])
     chosen = chosen[sure[chosen] > 2]
-    place = np.full(len(found), -1)
+    place = np.full(len(found), -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    hit = place[back] >= 0
+    hit = place[codes] >= 0
     x = np.zeros((n, len(chosen) + earlier.shape[1] + 1))
-    x[of[hit], place[back[hit]]] = 1
+    x[of[hit], place[codes[hit]]] = 1
     x[:, len(chosen) : -1] = earlier
     x[:, -1] = 1
     w = np.zeros(x.shape[1])
@@ -104,6 +103,9 @@ def fit(keys: np.ndarray, of: np.ndarray, label: np.ndarray, earlier: np.ndarray
 def fit_chain(keys: np.ndarray, of: np.ndarray, labels: np.ndarray) -> list[Linear]:
     """One model for each column of labels, in order; a model learns from out-of-fold logits of the earlier ones."""
     n = len(labels)
+    found, codes = np.unique(keys, return_inverse=True)
+    codes, of = codes.astype(np.int32), of.astype(np.int32)
+    del keys
     fold = np.arange(n) % FOLDS
     earlier = np.zeros((n, 0))
     chain = []
@@ -117,12 +119,12 @@ def fit_chain(keys: np.ndarray, of: np.ndarray, labels: np.ndarray) -> list[Line
             to = np.full(n, -1)
             to[train] = np.arange(len(train))
             rows = to[of] >= 0
-            model = fit(keys[rows], to[of[rows]], label[train], earlier[train])
+            model = fit(found, codes[rows], to[of[rows]], label[train], earlier[train])
             to = np.full(n, -1)
             to[test] = np.arange(len(test))
             rows = to[of] >= 0
-            outside[test] = model.logits(keys[rows], to[of[rows]], len(test), earlier[test])
-        chain.append(fit(keys, of, label, earlier))
+            outside[test] = model.logits(found[codes[rows]], to[of[rows]], len(test), earlier[test])
+        chain.append(fit(found, codes, of, label, earlier))
         earlier = np.column_stack([earlier, np.clip(outside, -20, 20)])
     return chain
 
