@@ -1,8 +1,7 @@
-"""LM scoring with a log-frequency Bloom filter of quantised bigram counts, broadcast to the workers."""
+"""LM scoring with a log-frequency Bloom filter of quantised bigram counts, probed segment by segment where it is built."""
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -15,6 +14,8 @@ from docspark.llm.common import LOWER, M1, M2, blocks, mix, partitions, sorted_g
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 #: Hash functions of the filter (a false hit in 2 ** -PROBES), taken off each kept count, and weight of the unigrams.
 PROBES, DISCOUNT, PRIOR = 8, 0.75, 1.0
+#: The least level that enters the filter, and the training tokens to a bucket of bigrams, which bound a task's memory.
+LEAST, ROOM = 1, 1 << 22
 _ROW = "bucket long, block long, blob binary"
 
 
@@ -107,57 +108,38 @@ def _send_words(buckets: int):
     return run
 
 
+def _distinct(own: Tokens, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct bigrams in order of bucket and context: contexts, both, buckets, and the place of each token's."""
+    context, both = own.context >> np.uint64(16), bigram(own.context, own.tokens)
+    _, at, inverse = np.unique(_key(context, both), return_index=True, return_inverse=True)
+    context, both = context[at], both[at]
+    bucket = (both % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((context, bucket))
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return context[order], both[order], bucket[order], place[inverse]
+
+
 def _send_bigrams(buckets: int):
-    """Of each block the distinct bigrams of its training documents and their counts."""
+    """Of each block the distinct bigrams, and how often its training documents have them."""
 
     def run(batches):
         for block, own in _each_block(batches):
-            context, both = own.context[own.learned], bigram(own.context[own.learned], own.tokens[own.learned])
-            context = context >> np.uint64(16)
-            _, at, counts = np.unique(_key(context, both), return_index=True, return_counts=True)
-            context, both, counts = context[at], both[at], counts.astype("<u4")
-            bucket = (both % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((context, bucket))
-            context, both, counts, bucket = context[order], both[order], counts[order], bucket[order]
+            context, both, bucket, place = _distinct(own, buckets)
+            counts = np.bincount(place, own.learned.astype(float), len(context)).astype(np.uint64)
             rows = []
             for x, y in zip((cuts := _cuts(bucket))[:-1], cuts[1:]):
                 ends = _cuts(context[x:y])
-                blob = _squeeze(_bytes(context[x:y][ends[:-1]], 6), np.diff(ends).astype("<u4"), _bytes(both[x:y], 4), _bytes(counts[x:y].astype(np.uint64), 4))
+                blob = _squeeze(_bytes(context[x:y][ends[:-1]], 6), np.diff(ends).astype("<u4"), _bytes(both[x:y], 4), _bytes(counts[x:y], 4))
                 rows.append((int(bucket[x]), block, blob))
             yield _rows(rows, *_SENT)
 
     return run
 
 
-def _count_bigrams(batches):
-    """Of each bucket the bigrams seen twice or more, with the level: the binary logarithm of the count, rounded down."""
-    for table, cuts in sorted_groups(batches, "bucket"):
-        rows = []
-        for x, y in zip(cuts[:-1], cuts[1:]):
-            contexts, boths, counts = [], [], []
-            for blob in table.column("blob")[x:y].to_pylist():
-                c, n, b, k = _expand(blob, "u1", "<u4", "u1", "u1")
-                contexts.append(np.repeat(_integers(c, 6), n))
-                boths.append(_integers(b, 4))
-                counts.append(_integers(k, 4).astype(float))
-            context, both = np.concatenate(contexts), np.concatenate(boths)
-            _, at, inverse = np.unique(_key(context, both), return_index=True, return_inverse=True)
-            total = np.bincount(inverse, np.concatenate(counts), len(at))
-            keep = total >= 2
-            at, level = at[keep], np.floor(np.log2(total[keep])).astype(np.uint8)
-            rows.append((table.column("bucket")[int(x)].as_py(), np.bincount(level, minlength=64).tolist(), _squeeze(_bytes(context[at], 6), _bytes(both[at], 4), level)))
-        yield _rows(rows, ["bucket", "levels", "blob"], [pa.int64(), pa.list_(pa.int64()), pa.binary()])
-
-
-def _kept(blob: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    context, both, level = _expand(blob, "u1", "u1", "u1")
-    context, both, keep = _integers(context, 6), _integers(both, 4), level >= least
-    return context[keep], both[keep], level[keep].astype(np.int64)
-
-
-def _positions(key: np.ndarray, level: np.ndarray, probe: int, bits: np.ndarray | int) -> np.ndarray:
+def _positions(key: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        one = mix(key + level.astype(np.uint64) * M1)
+        one = mix(key + np.array(level).astype(np.uint64) * M1)
         return ((one + np.uint64(probe) * (mix(one) | np.uint64(1))) >> np.uint64(11)) % np.uint64(bits)
 
 
@@ -166,46 +148,64 @@ def segment_bits(entries: int) -> int:
     return max(64, -(-int(entries * PROBES / np.log(2)) // 64) * 64)
 
 
-def _build(least: int):
-    """The filter's segment of each bucket: a bigram of level q is entered with each level from the least to q."""
+class Segment:
+    """A bucket's segment of the filter: a bigram of level q is entered with each level from the least to q."""
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
-                context, both, level = _kept(blob, least)
-                key = _key(context, both)
-                n = segment_bits(int((level - least + 1).sum()))
-                bits = np.zeros(n, bool)
-                for j in range(least, int(level.max(initial=0)) + 1):
-                    own = key[level >= j]
-                    for probe in range(PROBES):
-                        bits[_positions(own, np.array(j), probe, n)] = True
-                rows.append((bucket, np.packbits(bits, bitorder="little").tobytes()))
-            yield _rows(rows, ["bucket", "bits"], [pa.int64(), pa.binary()])
+    def __init__(self, key: np.ndarray, level: np.ndarray):
+        self.n = segment_bits(int((level - LEAST + 1).sum()))
+        self.bits = np.zeros(self.n, bool)
+        for j in range(LEAST, int(level.max(initial=LEAST - 1)) + 1):
+            own = key[level >= j]
+            for probe in range(PROBES):
+                self.bits[_positions(own, j, probe, self.n)] = True
+
+    def levels(self, key: np.ndarray) -> np.ndarray:
+        """One more than the level of each bigram, 0 where the segment lacks it: levels are probed upwards until one fails."""
+        out, rows, level = np.zeros(len(key), np.uint8), np.arange(len(key)), LEAST
+        while len(rows):
+            for probe in range(PROBES):
+                rows = rows[self.bits[_positions(key[rows], level, probe, self.n)]]
+            level += 1
+            out[rows] = level
+        return out
 
-    return run
 
+_KNOWN = (["bucket", "block", "kind", "blob"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()])
 
-def _send_masses(least: int, buckets: int):
-    """For each context the discounted counts that the filter holds, to the bucket of the context's word."""
+
+def _count_bigrams(buckets: int):
+    """Of each bucket: to each block what the bucket's segment of the filter holds of its bigrams (kind 3), and for each
+    context the discounted counts of the filter's bigrams, to the bucket of the context's word (kind 4).
+
+    A bigram's level is the binary logarithm of its count in all training documents, rounded down.
+    """
 
     def run(batches):
-        contexts, masses = [], []
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                context, _, level = _kept(blob, least)
-                own, inverse = np.unique(context, return_inverse=True)
-                contexts.append(own)
-                masses.append(np.bincount(inverse, 2.0**level - DISCOUNT, len(own)))
-        if not contexts:
-            return
-        context, inverse = np.unique(np.concatenate(contexts), return_inverse=True)
-        mass = np.bincount(inverse, np.concatenate(masses), len(context))
-        bucket = (context % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = _cuts(bucket[order])
-        yield _rows([(int(bucket[order[x]]), -1, _squeeze(context[order[x:y]], mass[order[x:y]])) for x, y in zip(cuts[:-1], cuts[1:])], *_SENT)
+        for table, cuts in sorted_groups(batches, "bucket"):
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                contexts, boths, counts = [], [], []
+                for blob in table.column("blob")[x:y].to_pylist():
+                    c, n, b, k = _expand(blob, "u1", "<u4", "u1", "u1")
+                    contexts.append(np.repeat(_integers(c, 6), n))
+                    boths.append(_integers(b, 4))
+                    counts.append(_integers(k, 4).astype(float))
+                ends = np.cumsum([len(c) for c in counts])
+                context, both = np.concatenate(contexts), np.concatenate(boths)
+                key, at, inverse = np.unique(_key(context, both), return_index=True, return_inverse=True)
+                total = np.bincount(inverse, np.concatenate(counts), len(at))
+                keep = total >= 2**LEAST
+                level = np.floor(np.log2(total[keep])).astype(np.int64)
+                found = Segment(key[keep], level).levels(key)[inverse]
+                bucket = table.column("bucket")[int(x)].as_py()
+                rows = [(-1, block, 3, _squeeze(np.array([bucket], "<i8"), own)) for block, own in zip(table.column("block")[x:y].to_pylist(), np.split(found, ends[:-1]))]
+                own, inverse = np.unique(context[at[keep]], return_inverse=True)
+                mass = np.bincount(inverse, 2.0**level - DISCOUNT, len(own))
+                to = (own % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                own, mass, to = own[order], mass[order], to[order]
+                ends = _cuts(to)
+                rows += [(int(to[s]), -1, 4, _squeeze(own[s:e], mass[s:e])) for s, e in zip(ends[:-1], ends[1:])]
+                yield _rows(rows, *_KNOWN)
 
     return run
 
@@ -249,44 +249,12 @@ def _answer_masses(batches):
         yield _rows(rows, ["block", "kind", "blob"], [pa.int64(), pa.int32(), pa.binary()])
 
 
-class Filter:
-    """The broadcast filter: segments by bucket."""
-
-    def __init__(self, segments: dict[int, bytes], buckets: int, least: int):
-        self.buckets, self.least = buckets, least
-        sizes = np.array([len(segments.get(b, b"")) for b in range(buckets)], np.int64)
-        self.begin = np.concatenate([[0], np.cumsum(sizes)])
-        self.sizes, self.data = sizes * 8, np.frombuffer(b"".join(segments.get(b, b"") for b in range(buckets)) or b"\0", np.uint8)
-
-    def counts(self, context: np.ndarray, both: np.ndarray) -> np.ndarray:
-        """The quantised count of each bigram, 0 where the filter lacks it: levels are probed upwards until one fails."""
-        out = np.zeros(len(both))
-        bucket = (both % np.uint64(self.buckets)).astype(np.int64)
-        rows, key, level = np.flatnonzero(self.sizes[bucket] > 0), _key(context, both), self.least
-        while len(rows):
-            live = rows
-            for probe in range(PROBES):
-                segment = bucket[live]
-                at = _positions(key[live], np.array(level), probe, self.sizes[segment].astype(np.uint64)).astype(np.int64)
-                live = live[(self.data[self.begin[segment] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            out[live] = 2.0**level
-            rows, level = live, level + 1
-        return out
-
-
-_HELD: dict[str, Filter] = {}
-
-
-def _score(shared, key: str, buckets: int, least: int, total: int, distinct: int):
+def _score(buckets: int, total: int, distinct: int):
     def run(batches):
-        if key not in _HELD:
-            _HELD.clear()
-            _HELD[key] = Filter(shared.value, buckets, least)
-        known = _HELD[key]
         for table, cuts in sorted_groups(batches, "block"):
             kinds, blobs = table.column("kind").to_pylist(), table.column("blob")
             for x, y in zip(cuts[:-1], cuts[1:]):
-                by = {k: [blobs[i].as_py() for i in range(x, y) if kinds[i] == k] for k in (0, 1, 2)}
+                by = {k: [blobs[i].as_py() for i in range(x, y) if kinds[i] == k] for k in (0, 1, 2, 3)}
                 own = Tokens(unpack(by[0][0]))
                 words, counts = (np.concatenate(c) for c in zip(*[_expand(b, "<u8", "<f8") for b in by[1]]))
                 order = np.argsort(words)
@@ -301,7 +269,8 @@ def _score(shared, key: str, buckets: int, least: int, total: int, distinct: int
                 taken[hit] = np.minimum(mass[at[hit]], counts[hit])
                 token, context = np.searchsorted(words, own.tokens), np.searchsorted(words, own.context)
                 base = (counts[token] + 0.1) / (total + 0.1 * (distinct + 1))
-                seen = known.counts(own.context >> np.uint64(16), bigram(own.context, own.tokens))
+                levels = np.concatenate([found for _, found in sorted((_expand(b, "<i8", "u1") for b in by[3]), key=lambda f: f[0][0])])[_distinct(own, buckets)[3]]
+                seen = np.where(levels > 0, 2.0 ** (levels.astype(np.int64) - 1), 0.0)
                 n = counts[context]
                 kept = np.where((seen > 0) & (n > 0), np.minimum(seen - DISCOUNT, n), 0.0)
                 model = (kept + (n - taken[context] + PRIOR) * base) / (n + PRIOR)
@@ -321,9 +290,9 @@ def score_documents(docs: DataFrame, filter_bytes: int = 128 << 20) -> DataFrame
     Documents whose id as text has a crc32 that 10 divides are held out; the others train. Blocks of documents send
     their distinct tokens and bigrams with counts to hashed buckets, so nothing is gathered by a frequent word. Token
     counts come back to the blocks exactly. Bigrams seen at least twice enter the filter of their bucket with the
-    logarithm of their count; the segments are broadcast. Their size follows the number of bigrams up to
-    ``filter_bytes``; where it would be more, the filter begins at a higher count, as a pruned model does, and the
-    mass of the counts left out goes to the unigrams.
+    logarithm of their count; a bucket's segment answers the blocks' bigrams where it was built, so the filter's size
+    follows the number of bigrams without a limit. There are so many buckets that a segment has about ``filter_bytes``
+    at most.
 
     score is the log10 probability under P(w | u) = (max(q(u, w) - D, 0) + (c(u) - M(u) + m) * base(w)) / (c(u) + m):
     q is the filter's count, M(u) the sum of q - D over the filter's bigrams of u, base the smoothed unigram of
@@ -340,16 +309,11 @@ def score_documents(docs: DataFrame, filter_bytes: int = 128 << 20) -> DataFrame
     words = packed.mapInArrow(_send_words(buckets), _ROW)
     answers = stored(dealt(words, "bucket").mapInArrow(_answer, "block long, kind int, distinct long, total long, blob binary"), "words")
     distinct, total = (int(x or 0) for x in answers.agg(F.sum("distinct"), F.sum("total")).first())
-    counted = stored(dealt(packed.mapInArrow(_send_bigrams(buckets), _ROW), "bucket").mapInArrow(_count_bigrams, "bucket long, levels array<long>, blob binary"), "bigrams")
-    levels = counted.select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()
-    items = {r["level"]: r["n"] for r in levels}
-    least = 1
-    while segment_bits(sum(n * (q - least + 1) for q, n in items.items() if q >= least)) // 8 + 8 * buckets > filter_bytes and least < 63:
-        least += 1
-    segments = {r["bucket"]: bytes(r["bits"]) for r in counted.select("bucket", "blob").mapInArrow(_build(least), "bucket long, bits binary").collect()}
-    shared = spark.sparkContext.broadcast(segments)
-    masses = dealt(counted.select("bucket", "blob").mapInArrow(_send_masses(least, buckets), _ROW).unionByName(words), "bucket")
+    segments = max(parts, -(-segment_bits(total) // (8 * filter_bytes)), total // ROOM)
+    sent = packed.mapInArrow(_send_bigrams(segments), _ROW)
+    known = stored(dealt(sent, "bucket").mapInArrow(_count_bigrams(buckets), "bucket long, block long, kind int, blob binary"), "bigrams")
+    masses = dealt(known.filter("kind = 4").select("bucket", "block", "blob").unionByName(words), "bucket")
     told = masses.mapInArrow(_answer_masses, "block long, kind int, blob binary")
-    all_ = packed.select("block", F.lit(0).alias("kind"), "blob").unionByName(answers.select("block", "kind", "blob")).unionByName(told)
+    all_ = packed.select("block", F.lit(0).alias("kind"), "blob").unionByName(answers.select("block", "kind", "blob")).unionByName(told).unionByName(known.filter("kind = 3").select("block", "kind", "blob"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt(all_, "block").mapInArrow(_score(shared, uuid.uuid4().hex, buckets, least, total, distinct), schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    return dealt(all_, "block").mapInArrow(_score(segments, total, distinct), schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

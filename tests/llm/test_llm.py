@@ -243,6 +243,13 @@ def test_lm_scoring(docs, texts, odd, none):
     assert score_documents(docs, filter_bytes=600).count() == len(texts)
 
 
+def test_lm_scoring_keeps_low_counts(docs):
+    """However small filter_bytes is, no bigram leaves the model: only false hits of the filter differ."""
+    whole, small = rows(score_documents(docs)), rows(score_documents(docs, filter_bytes=100))
+    gain, least = (sum(r.score - r.base_score for r in got.values()) for got in (whole, small))
+    assert least == pytest.approx(gain, rel=0.02)
+
+
 def test_packing(docs, texts, odd, none):
     got = collections.defaultdict(list)
     for r in packing.pack_documents(docs, queries.word_bpe(), 256, 2).collect():
