@@ -169,13 +169,54 @@ KINDS = {
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
     "phone": (r"(?<![\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)", _phone),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
-    "card": (r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]*\d)", _card),
+    "card": (r"(?<![\d-])\d(?:[ -]?\d){12,}(?![\d-]*\d)", _card),
     "secret": (r"(?<![A-Za-z0-9_=-])(?:[0-9a-f]{32,}|[A-Za-z0-9_-]{36,})(?![A-Za-z0-9_])|(?:(?<=password=)|(?<=passwd=)|(?<=secret=)|(?<=token=)|(?<=api_key=)|(?<=apikey=))[^\s\"']{6,}", _secret),
 }
 _FIND = {kind: re.compile(pattern) for kind, (pattern, _) in KINDS.items()}
 _HINT = re.compile(r"\d")
 
 
+#: Length of the IBANs of each country, and the usual groups of a card's digits.
+_IBAN_LENGTH = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+_CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 3, 3, 3)}
+
+
+def _ibans(text: str, m: re.Match) -> list[tuple[int, int]]:
+    """Where an IBAN that begins where m does may end: at the country's length first, then at each space, the last first."""
+    ends = [m.end(), *(x.start() for x in reversed(list(re.finditer(" ", m.group()))))]
+    ends = [ends[0], *(m.start() + x for x in ends[1:])]
+    known = _IBAN_LENGTH.get(m.group()[:2])
+    return [(m.start(), e) for e in sorted(ends, key=lambda e: len(text[m.start() : e].replace(" ", "")) != known)]
+
+
+def _cards(text: str, m: re.Match) -> list[tuple[int, int]]:
+    """The runs of whole groups of m that have a card's 13 to 19 digits: usual groups first, then from the left, the longest first."""
+    groups = [(x.start(), x.end()) for x in re.finditer(r"\d+", text[m.start() : m.end()])]
+    out = []
+    for i, (start, _) in enumerate(groups):
+        n = 0
+        for j in range(i, len(groups)):
+            n += groups[j][1] - groups[j][0]
+            if n > 19:
+                break
+            if n >= 13:
+                sizes = tuple(e - s for s, e in groups[i : j + 1])
+                out.append((i != j and sizes not in _CARD_GROUPS, start, -groups[j][1]))
+    return [(m.start() + s, m.start() - e) for _, s, e in sorted(out)]
+
+
+#: Of kinds with a check digit: the parts of a match to try, in order, as what stands beside a value may look like more of it.
+_PARTS = {"iban": _ibans, "card": _cards}
+
+
 def spans(text: str, permute: Permutation) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of what is found and valid; where two overlap, the kind listed first stays."""
     found: list[tuple[int, int, str, str]] = []
@@ -183,12 +224,17 @@ def spans(text: str, permute: Permutation) -> list[tuple[int, int, str, str]]:
     for kind, pattern in _FIND.items():
         if not (at if kind == "email" else digits):
             continue
-        for m in pattern.finditer(text):
-            if any(s < m.end() and m.start() < e for s, e, *_ in found):
-                continue
-            new = KINDS[kind][1](m.group(), permute)
-            if new is not None:
-                found.append((m.start(), m.end(), kind, new))
+        place = 0
+        while m := pattern.search(text, place):
+            begin, place = len(found), m.end()
+            for start, end in _PARTS[kind](text, m) if kind in _PARTS else [m.span()]:
+                if any(s < end and start < e for s, e, *_ in found):
+                    continue
+                new = KINDS[kind][1](text[start:end], permute)
+                if new is not None:
+                    found.append((start, end, kind, new))
+            if kind == "iban":
+                place = found[-1][1] if len(found) > begin else m.start() + 1
     return sorted(found)
 
 
@@ -206,7 +252,7 @@ def replace_pii(docs: DataFrame, key: bytes = b"docspark") -> DataFrame:
 
     E-mail addresses, dates, IPv4 addresses, social security numbers, phone numbers, IBANs, card numbers and secrets
     are found by pattern and, where the format has a check, validated (calendar, ranges, Luhn, mod 97); what fails
-    stays. A value is permuted within its format by a Feistel network under the key, so equal values get equal
+    stays. Of a run of groups that is no card or IBAN as a whole, the runs of its groups are tried. A value is permuted within its format by a Feistel network under the key, so equal values get equal
     pseudonyms in all documents, different ones different pseudonyms, and check digits hold. Nothing is shuffled.
 
     A null text stays null with no kinds; an empty one stays empty. All rows and columns stay; a column named pii

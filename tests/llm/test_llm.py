@@ -152,6 +152,24 @@ def test_pii(spark, none):
     assert pii.replace_pii(none).count() == 0
 
 
+def test_pii_beside_other_groups():
+    permute = pii.Permutation(b"key")
+    for text, value, kind in (
+        ("card 4111 1111 1111 1111 12/27", "4111 1111 1111 1111", "card"),
+        ("item 3 4111111111111111", "4111111111111111", "card"),
+        ("4111111111111111 123", "4111111111111111", "card"),
+        ("paid 12-05-2027 4111 1111 1111 1111 on", "4111 1111 1111 1111", "card"),
+        ("BE68 5390 0754 7034 EUR", "BE68 5390 0754 7034", "iban"),
+        ("ES91 2100 0418 4502 0005 1332 BIC", "ES91 2100 0418 4502 0005 1332", "iban"),
+        ("AB12 CDEF GHIJ BE68 5390 0754 7034", "BE68 5390 0754 7034", "iban"),
+    ):
+        found = [(text[s:e], k) for s, e, k, _ in pii.spans(text, permute)]
+        assert (value, kind) in found, text
+    two = "4111 1111 1111 1111 5500 0000 0000 0004 7"
+    assert [two[s:e] for s, e, *_ in pii.spans(two, permute)] == ["4111 1111 1111 1111", "5500 0000 0000 0004"]
+    assert not pii.spans("4111 1111 1111 1112 12 and BE68 5390 0754 7035 EUR", permute)
+
+
 def test_line_dedup(docs, texts, odd, none):
     key = lambda line: lower(line.strip(" \t\n\x0b\f\r"))
     seen = collections.defaultdict(set)
