@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,8 +63,9 @@ def convert(spark: SparkSession, paths: str | list[str], options: Options) -> tu
         shown = sources.good(blocks)
         images = None
         if options.images:
-            images = sinks.name_images(sources.good(sources.read_images(files)), options.images)
-            listed = documents.picture_lists(sources.good(sources.read_pictures(files)), images)
+            pictures = sources.good(sources.read_pictures(files, options.sheet))
+            images = sinks.name_images(_wanted_images(files, shown, pictures, options)[0], options.images)
+            listed = documents.picture_lists(pictures, images)
             after = F.when(F.col("pictures").isNull(), F.lit("")).otherwise(F.concat(F.lit("\n"), "pictures"))
             out = out.join(listed, ["path", "sheet_no"], "left").select("path", "sheet_no", "sheet", F.concat("text", after).alias("text"))
         text = documents.markdown(documents.resolve_images(documents.without_furniture(shown), images))
@@ -72,6 +74,27 @@ def convert(spark: SparkSession, paths: str | list[str], options: Options) -> tu
     return out, failed
 
 
+def _wanted_images(files: DataFrame, shown: DataFrame, pictures: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
+    """(images, wanted): the images that the Markdown links to, and (path, part) of those that it would."""
+    if options.sheet is None and not options.all_sheets:
+        pictures = pictures.filter("sheet_no = 0")
+    wanted = documents.shown_images(documents.without_furniture(shown)).unionByName(pictures.select("path", F.col("run.image_part").alias("part")).distinct())
+    return sources.good(sources.read_images(files)).join(wanted, ["path", "part"], "left_semi"), wanted
+
+
+def export_images(spark: SparkSession, paths: str | list[str], options: Options, folder: str) -> DataFrame:
+    """Write the images that convert's Markdown links to into folder, by the names in the links: (path, saved, skipped).
+
+    options.images is what the links begin with: the way from the Markdown's folder to this one.
+    """
+    files = sources.with_kind(sources.scan(spark, paths), options.from_)
+    shown = sources.good(sources.read_blocks(files, not options.no_notes))
+    images, wanted = _wanted_images(files, shown, sources.good(sources.read_pictures(files, options.sheet)), options)
+    os.makedirs(folder, exist_ok=True)
+    sinks.write_images(images, sinks.name_images(images, options.images or ""), folder)
+    return sinks.report(images, wanted)
+
+
 def output_names(results: DataFrame, to: str, all_sheets: bool = False) -> DataFrame:
     """results with a file name each, unique among the sheets of a workbook."""
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]*$", "")
@@ -120,11 +143,22 @@ def main(argv: list[str] | None = None) -> int:
         if kind is None:
             raise ConvertError("data", f"{a.input} is of no known kind")
         plan(kind, options)
+        if a.images:
+            beside = (a.output if a.all_sheets else os.path.dirname(a.output)) if a.output else ""
+            options = replace(options, images=os.path.relpath(a.images, beside or ".").replace(os.sep, "/"))
         spark = SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").getOrCreate()
         results, failed = convert(spark, a.input, options)
         for row in failed.collect():
             raise ConvertError(row["class"], row["message"])
         to = output_format(a.to)
+        if a.images and to == "markdown":
+            try:
+                counts = export_images(spark, a.input, options, a.images).agg(F.sum("saved"), F.sum("skipped")).first()
+            except OSError as bad:
+                raise ConvertError("io", f"{a.images}: {bad.strerror}") from bad
+            print(f"saved {counts[0] or 0} images to {a.images}", file=sys.stderr)
+            if counts[1]:
+                print(f"warning: left out {counts[1]} files that aren't PNG, JPEG, GIF, WebP, BMP, TIFF, EMF or WMF images", file=sys.stderr)
         if a.all_sheets and a.output:
             sinks.write_text(output_names(results, to, True), a.output)
         else:

@@ -36,6 +36,13 @@ def resolve_images(blocks: DataFrame, images: DataFrame | None) -> DataFrame:
     return out.filter(F.col("kind").isin("table", "rule") | ~is_blank(F.col("runs")))
 
 
+def shown_images(blocks: DataFrame) -> DataFrame:
+    """(path, part) of the images that blocks show, each once."""
+    cells = F.flatten(F.transform("grid", lambda row: F.flatten(F.transform(row, lambda c: c["runs"]))))
+    runs = F.when(F.col("grid").isNull(), F.col("runs")).when(F.col("runs").isNull(), cells).otherwise(F.concat("runs", cells))
+    return blocks.select("path", F.explode(runs).alias("r")).filter("r.kind = 'image' AND r.image_part IS NOT NULL").select("path", F.col("r.image_part").alias("part")).distinct()
+
+
 def _table(grid: Column) -> Column:
     """A grid as a GFM table; covered cells are empty, ragged rows are padded."""
     width = F.array_max(F.transform(grid, F.size))

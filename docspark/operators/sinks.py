@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.operators.names import UniqueNames
+from docspark.operators.names import UniqueNames, same_file_key
 from docspark.plans.plan import ConvertError
 
 MARKS = {"png": ["png"], "jpeg": ["jpg", "jpeg"], "gif": ["gif"], "webp": ["webp"], "bmp": ["bmp"], "tiff": ["tiff", "tif"], "emf": ["emf"], "wmf": ["wmf"]}
@@ -41,16 +42,39 @@ def image_name(part: str, format_: str) -> str:
 
 
 def name_images(images: DataFrame, folder: str) -> DataFrame:
-    """images with name and source, unique within a document; the names of one document are claimed in one task."""
+    """images (path, part, format, sha2) with name and source, unique within a document and among all of them.
+
+    The names of one document are claimed in one task. Where documents claim one name for unlike images, the first
+    document keeps it, and the others' images go into folders named by their contents.
+    """
 
     def run(key, pdf):
         names = UniqueNames()
         pdf = pdf.sort_values("part").reset_index(drop=True)
         pdf["name"] = [names.claim(image_name(p, f)) for p, f in zip(pdf["part"], pdf["format"])]
-        pdf["source"] = [f"{folder}/{n}" if folder else n for n in pdf["name"]]
+        pdf["same"] = [same_file_key(n) for n in pdf["name"]]
         return pdf
 
-    return images.select("path", "part", "format").groupBy("path").applyInPandas(run, "path string, part string, format string, name string, source string")
+    claimed = images.select("path", "part", "format", "sha2").groupBy("path").applyInPandas(run, "path string, part string, format string, sha2 string, name string, same string")
+    first = claimed.groupBy("same").agg(F.min(F.struct("path", "part", "sha2"))["sha2"].alias("first"))
+    name = F.when(F.col("sha2") == F.col("first"), F.col("name")).otherwise(F.concat("sha2", F.lit("/"), "name"))
+    source = F.concat(F.lit(f"{folder}/" if folder else ""), "name")
+    return claimed.join(first, "same").withColumn("name", name).select("path", "part", "format", "name", source.alias("source"))
+
+
+def write_images(images: DataFrame, named: DataFrame, folder: str) -> None:
+    """The bytes of images to files of their names; tasks write their own rows, nothing is collected."""
+
+    def run(rows):
+        for row in rows:
+            at = os.path.join(folder, row["name"])
+            os.makedirs(os.path.dirname(at), exist_ok=True)
+            own = f"{at}.{uuid.uuid4().hex}"
+            with open(own, "wb") as out:
+                out.write(row["bytes"])
+            os.replace(own, at)
+
+    images.select("path", "part", "bytes").join(named.select("path", "part", "name"), ["path", "part"]).foreachPartition(run)
 
 
 def report(images: DataFrame, wanted: DataFrame) -> DataFrame:

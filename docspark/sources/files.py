@@ -142,13 +142,13 @@ def read_images(files: DataFrame) -> DataFrame:
     return known.filter("error IS NOT NULL OR format IS NOT NULL").select("path", "part", "format", "bytes", "sha2", "error")
 
 
-def read_pictures(files: DataFrame) -> DataFrame:
+def read_pictures(files: DataFrame, sheet: str | None = None) -> DataFrame:
     """The pictures of sheets in order: (path, sheet_no, seq, run)."""
 
     def parse(path, kind, content):
         from docspark.sources.blocks import run
 
-        for s in xlsx.read_workbook(content, pictures=True):
+        for s in xlsx.read_workbook(content, sheet, pictures=True):
             for i, p in enumerate(s["pictures"]):
                 yield {"path": path, "sheet_no": s["sheet_no"], "seq": i, "run": run(p["text"], "image", link=p["link"], image_part=p["image_part"], size=p["size"])}
 

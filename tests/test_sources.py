@@ -1,7 +1,11 @@
+import io
+import re
+import zipfile
+
 import pytest
-from files import deck, document, package, workbook
+from files import deck, document, package, png, workbook
 
-from docspark.convert import convert, main, output_names
+from docspark.convert import convert, export_images, main, output_names
 from docspark.operators import documents, pdf, sinks
 from docspark.plans.plan import ConvertError, Options, plan
 from docspark.sources import delimited, docx, files, opc, pptx, xlsx
@@ -107,6 +111,26 @@ def test_images_and_relationships(spark, folder):
     assert sinks.image_name("a/b.JPG", "jpeg") == "b.JPG" and sinks.image_name("a/b", "png") == "b.png"
 
 
+def test_images_are_written(spark, tmp_path, capsys):
+    parts = {n: zipfile.ZipFile(io.BytesIO(document())).read(n) for n in zipfile.ZipFile(io.BytesIO(document())).namelist()}
+    (tmp_path / "in").mkdir()
+    for name, data in (("a", png()), ("b", png() + b"!"), ("c", png()), ("d", b"<svg/>")):
+        (tmp_path / f"in/{name}.docx").write_bytes(package(parts | {"word/media/cat.jpg": data}))
+    (tmp_path / "in/e.xlsx").write_bytes(workbook())
+    options = Options("md", images="img")
+    counts = export_images(spark, str(tmp_path / "in"), options, str(tmp_path / "img"))
+    assert {r.path[-6:]: (r.saved, r.skipped) for r in counts.collect()} == {"a.docx": (1, 0), "b.docx": (1, 0), "c.docx": (1, 0), "d.docx": (0, 1), "e.xlsx": (1, 0)}
+    results, _ = convert(spark, str(tmp_path / "in"), options)
+    for name, data in (("a.docx", png()), ("b.docx", png() + b"!"), ("c.docx", png()), ("e.xlsx", png())):
+        links = re.findall(r"!\[[^]]*\]\(([^)]+)\)", next(iter(texts(results, name).values())))
+        assert links and all((tmp_path / link).read_bytes() == data for link in links)
+    assert len([f for f in (tmp_path / "img").rglob("*") if f.is_file()]) == 3
+    (tmp_path / "out").mkdir()
+    assert main([str(tmp_path / "in/a.docx"), "--to", "md", "-o", str(tmp_path / "out/a.md"), "--images", str(tmp_path / "pics")]) == 0
+    assert "](../pics/cat.png)" in (tmp_path / "out/a.md").read_text() and (tmp_path / "pics/cat.png").read_bytes() == png()
+    assert "saved 1 images" in capsys.readouterr().err
+
+
 def test_pdf(spark, folder):
     results, failed = convert(spark, folder, Options("pdf", output="x"))
     made = {r.path.rpartition("/")[2]: bytes(r.text) for r in results.collect()}
