@@ -15,7 +15,7 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 #: Hash functions of the filter (a false hit in 2 ** -PROBES), taken off each kept count, and weight of the unigrams.
 PROBES, DISCOUNT, PRIOR = 8, 0.75, 1.0
 #: The least level that enters the filter, and the training tokens to a bucket of bigrams, which bound a task's memory.
-LEAST, ROOM = 1, 1 << 22
+LEAST, ROOM = 0, 1 << 22
 _ROW = "bucket long, block long, blob binary"
 
 
@@ -289,7 +289,7 @@ def score_documents(docs: DataFrame, filter_bytes: int = 128 << 20) -> DataFrame
 
     Documents whose id as text has a crc32 that 10 divides are held out; the others train. Blocks of documents send
     their distinct tokens and bigrams with counts to hashed buckets, so nothing is gathered by a frequent word. Token
-    counts come back to the blocks exactly. Bigrams seen at least twice enter the filter of their bucket with the
+    counts come back to the blocks exactly. All bigrams, those seen once too, enter the filter of their bucket with the
     logarithm of their count; a bucket's segment answers the blocks' bigrams where it was built, so the filter's size
     follows the number of bigrams without a limit. There are so many buckets that a segment has about ``filter_bytes``
     at most.

@@ -268,6 +268,18 @@ def test_lm_scoring_keeps_low_counts(docs):
     assert least == pytest.approx(gain, rel=0.02)
 
 
+def test_lm_scoring_knows_bigrams_seen_once(spark):
+    """Two documents that share no word: each bigram is seen once, and raises the score over the unigrams alone."""
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10][:2]
+    got = rows(score_documents(spark.createDataFrame([(ids[0], "a b c d e f g h i j"), (ids[1], "k l m n o p q r s t")], "doc_id long, text string")))
+    n, base = 22, lambda c: (c + 0.1) / (22 + 0.1 * 22)
+    # <s> has count 2, each word 1; one bigram of <s> to each first word, and one of each word.
+    first = (0.25 + (2 - 0.5 + 1) * base(1)) / 3
+    word, last = ((0.25 + (1 - 0.25 + 1) * base(c)) / 2 for c in (1, 2))
+    least = math.log10(first) + 9 * math.log10(word) + math.log10(last)  # a false hit of the filter only raises it
+    assert all(r.train_tokens == n and least - 1e-9 <= r.score < least + 1.5 and r.base_score < least for r in got.values())
+
+
 def test_packing(docs, texts, odd, none):
     got = collections.defaultdict(list)
     for r in packing.pack_documents(docs, queries.word_bpe(), 256, 2).collect():
