@@ -39,11 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    ``by`` names a column of few values whose rows are read apart from each other later.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    write = df.write.option("compression", "zstd")
+    (write.partitionBy(by) if by else write).parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out.stored_at = at
     return out
@@ -145,39 +149,40 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def blocks(docs: DataFrame, rows: int = 3000, size: int = 8_000_000, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """Documents packed into blocks (block, blob) of neighbouring rows, stored in the shared folder.
+def in_blocks(batches, rows: int, size: int):
+    """Tables of neighbouring rows with a column text, each with a number that no other block of any task has.
 
     A block ends after ``rows`` documents or ``size`` bytes of text, so its memory is bounded but for a single long text.
     """
+    import pyspark
 
-    def run(batches):
-        import pyspark
-
-        part = pyspark.TaskContext.get().partitionId()
-        held, n, mass, seq = [], 0, 0, 0
-        for batch in batches:
-            lengths = np.diff(utf8(batch.column("text"))[1])
-            at = 0
-            while at < batch.num_rows:
-                take = min(rows - n, batch.num_rows - at)
-                fit = int(np.searchsorted(np.cumsum(lengths[at : at + take]), size - mass, "right"))
-                take = max(1 if not n else 0, min(take, fit))
-                if take:
-                    held.append(batch.slice(at, take))
-                    n, mass, at = n + take, mass + int(lengths[at : at + take].sum()), at + take
-                if held and (n >= rows or at < batch.num_rows or mass >= size):
-                    yield _block(part, seq, held)
-                    held, n, mass, seq = [], 0, 0, seq + 1
-        if held:
-            yield _block(part, seq, held)
+    part = pyspark.TaskContext.get().partitionId()
+    held, n, mass, seq = [], 0, 0, 0
+    for batch in batches:
+        lengths = np.diff(utf8(batch.column("text"))[1])
+        at = 0
+        while at < batch.num_rows:
+            take = min(rows - n, batch.num_rows - at)
+            fit = int(np.searchsorted(np.cumsum(lengths[at : at + take]), size - mass, "right"))
+            take = max(1 if not n else 0, min(take, fit))
+            if take:
+                held.append(batch.slice(at, take))
+                n, mass, at = n + take, mass + int(lengths[at : at + take].sum()), at + take
+            if held and (n >= rows or at < batch.num_rows or mass >= size):
+                yield (part << 32) + seq, pa.Table.from_batches(held).combine_chunks()
+                held, n, mass, seq = [], 0, 0, seq + 1
+    if held:
+        yield (part << 32) + seq, pa.Table.from_batches(held).combine_chunks()
 
-    return stored(docs.select(*columns).mapInArrow(run, "block long, blob binary"), "blocks")
 
+def blocks(docs: DataFrame, rows: int = 3000, size: int = 8_000_000, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """Documents packed into blocks (block, blob) of neighbouring rows, stored in the shared folder."""
 
-def _block(part: int, seq: int, held: list) -> pa.RecordBatch:
-    table = pa.Table.from_batches(held).combine_chunks()
-    return pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq], pa.int64()), pa.array([pack(table)], pa.binary())], ["block", "blob"])
+    def run(batches):
+        for block, table in in_blocks(batches, rows, size):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pack(table)], pa.binary())], ["block", "blob"])
+
+    return stored(docs.select(*columns).mapInArrow(run, "block long, blob binary"), "blocks")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

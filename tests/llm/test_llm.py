@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from docspark.llm import bpe, fingerprints, lattice_dedup, minhash, packing, pii, queries, toxicity
+from docspark.llm import bpe, fingerprints, lattice_dedup, lm_scoring, minhash, packing, pii, queries, toxicity
 from docspark.llm.common import components
 from docspark.llm.line_dedup import drop_common_lines
 from docspark.llm.lm_scoring import score_documents
@@ -258,26 +258,55 @@ def test_lm_scoring(docs, texts, odd, none):
         assert g.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)) and g.score <= 0
     assert sum(g.score for g in got.values()) > sum(g.base_score for g in got.values())
     assert score_documents(odd).count() == 5 and score_documents(none).count() == 0
-    assert score_documents(docs, filter_bytes=600).count() == len(texts)
-
-
-def test_lm_scoring_keeps_low_counts(docs):
-    """However small filter_bytes is, no bigram leaves the model: only false hits of the filter differ."""
-    whole, small = rows(score_documents(docs)), rows(score_documents(docs, filter_bytes=100))
-    gain, least = (sum(r.score - r.base_score for r in got.values()) for got in (whole, small))
-    assert least == pytest.approx(gain, rel=0.02)
-
-
-def test_lm_scoring_knows_bigrams_seen_once(spark):
-    """Two documents that share no word: each bigram is seen once, and raises the score over the unigrams alone."""
-    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10][:2]
-    got = rows(score_documents(spark.createDataFrame([(ids[0], "a b c d e f g h i j"), (ids[1], "k l m n o p q r s t")], "doc_id long, text string")))
-    n, base = 22, lambda c: (c + 0.1) / (22 + 0.1 * 22)
-    # <s> has count 2, each word 1; one bigram of <s> to each first word, and one of each word.
-    first = (0.25 + (2 - 0.5 + 1) * base(1)) / 3
-    word, last = ((0.25 + (1 - 0.25 + 1) * base(c)) / 2 for c in (1, 2))
-    least = math.log10(first) + 9 * math.log10(word) + math.log10(last)  # a false hit of the filter only raises it
-    assert all(r.train_tokens == n and least - 1e-9 <= r.score < least + 1.5 and r.base_score < least for r in got.values())
+    assert {i: g.score for i, g in rows(score_documents(docs, room=200)).items()} == {i: pytest.approx(g.score) for i, g in got.items()}
+    bigrams = collections.Counter(b for i, own in tokens.items() if not held[i] for b in zip(["<s>", *own], own))
+    levels = {b: int(math.log2(x)) for b, x in bigrams.items()}
+    follows, mass = collections.Counter(), collections.Counter()
+    for (u, w), x in bigrams.items():
+        follows[u] += x
+        mass[u] += 2 ** levels[u, w] - lm_scoring.DISCOUNT
+
+    def p(u, w):
+        base = (c[w] + 0.1) / (n + 0.1 * (v + 1))
+        kept = 2 ** levels[u, w] - lm_scoring.DISCOUNT if (u, w) in levels else 0
+        return (kept + (follows[u] - mass[u] + lm_scoring.PRIOR) * base) / (follows[u] + lm_scoring.PRIOR)
+
+    for i, own in tokens.items():
+        assert got[i].score == pytest.approx(sum(math.log10(p(u, w)) for u, w in zip(["<s>", *own], own)))
+
+
+def test_lm_probabilities_sum_to_one():
+    """Over all words that are known and one for the others, after rare and common contexts, false hits included."""
+    r = np.random.default_rng(2)
+    v, contexts = 50_000, [(1, 1), (2, 2), (10, 7), (100, 60), (100_000, 20_000)]
+    counts = 1 + r.zipf(1.5, v).clip(max=10**6).astype(float)
+    base = np.append(counts + 0.1, 0.1) / (counts.sum() + 0.1 * (v + 1))
+    entered, levels, made = [], [], []
+    for k, (total, distinct) in enumerate(contexts * 20):
+        words = r.choice(v, min(distinct, total), replace=False)
+        seen = np.ones(len(words), int)
+        np.add.at(seen, r.integers(0, len(words), total - len(words)), 1)
+        key = lm_scoring.mix(np.uint64(k << 32) + words.astype(np.uint64))
+        entered.append(key)
+        levels.append(np.floor(np.log2(seen)).astype(int))
+        made.append((k, total, float((2.0 ** levels[-1] - lm_scoring.DISCOUNT).sum())))
+    order = np.argsort(key := np.concatenate(entered))
+    segment = lm_scoring.Segment(key[order], np.concatenate(levels)[order], lm_scoring.probes_for(v))
+    for k, total, mass in made:
+        found = np.append(segment.levels(lm_scoring.mix(np.uint64(k << 32) + np.arange(v, dtype=np.uint64))), 0)
+        p = lm_scoring.probability(found, np.full(v + 1, float(total)), np.full(v + 1, mass), base)
+        assert (p > 0).all() and p.sum() == pytest.approx(1, abs=0.01)
+
+
+def test_lm_filter_forgets_nothing():
+    r = np.random.default_rng(3)
+    key, level = np.unique(r.integers(0, 2**64, 20_000, np.uint64)), r.geometric(0.5, 20_000) - 1
+    got = lm_scoring.Segment(key, level, 4).levels(key).astype(int) - 1
+    assert (got >= level).all() and (got > level).mean() < 1e-3
+    absent = r.integers(0, 2**64, 2_000_000, np.uint64)
+    hits = [(lm_scoring.Segment(key, level, n).levels(absent) > 0).mean() for n in (1, 2, 3)]
+    assert hits[0] < 2**-9 and hits[1] < 2**-16 and hits[2] < 2**-19
+    assert not lm_scoring.Segment(key[:0], level[:0], 2).levels(key).any()
 
 
 def test_packing(docs, texts, odd, none):
