@@ -16,13 +16,15 @@ import struct
 import tempfile
 import unicodedata
 import uuid
-from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark.llm.common import SPACE, slices, word_spans
 
 
 _NONE = 1 << 60
@@ -167,6 +169,28 @@ class Model:
             self._library = Tokenizer.from_str(json.dumps(self.spec | {"truncation": None, "padding": None}))
         return self._library.encode(text, add_special_tokens=False).ids
 
+    def chunks(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, list[int]]:
+        """What stands between white space in all texts, normalised: the distinct ones, which of them each is, and for
+        each text the number before it. Texts that need another way have none here, and are listed."""
+        normal, other = [], []
+        for i, text in enumerate(texts):
+            own = ""
+            if not text.isascii() and self.unsure(text) or any(s in text for s in self.special):
+                other.append(i)
+            elif _ODD_SPACE.search(own := self.normal(text)):
+                other.append(i)
+                own = ""
+            normal.append(own if own.isascii() else " ".join(own.split()))
+        raw = [t.encode() for t in normal]
+        data = np.frombuffer(b"\n".join(raw), np.uint8)
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)])
+        at[-1] = len(data)
+        starts, ends, first = word_spans(data, at)
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+        flat = pa.py_buffer(data[~SPACE[data]]) if len(data) else pa.py_buffer(b"")
+        found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), flat]).dictionary_encode()
+        return found.dictionary, found.indices.to_numpy(), first, other
+
     def __reduce__(self):
         return Model, (self.spec,)
 
@@ -269,88 +293,109 @@ class Lexicon:
             file.flush()
             self._map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
         self.root, n_states, self.size, n_begin, n_ids = struct.unpack("<5i", self._map[:20])
-        view, at, parts = memoryview(self._map), 20, []
+        at, parts = 20, []
         for n in (n_states, self.size, self.size, self.size, n_begin, n_ids):
-            parts.append(view[at : at + 4 * n].cast("i"))
+            parts.append(np.frombuffer(self._map, "<i4", n, at))
             at += 4 * n
         self.final, self.keys, self.target, self.skip, self.begin, self.ids = parts
 
-    def find(self, word: bytes) -> bytes | None:
-        """The word's ids as little-endian unsigned 32-bit integers, or None where the lexicon lacks it."""
-        keys, last = self.keys, self.size - 1
-        state, number = self.root, 0
-        for byte in word:
-            key = state << 8 | byte
-            slot = (key * 0x9E3779B1 >> 7) & last
-            while (held := keys[slot]) != key:
-                if held < 0:
-                    return None
-                slot = (slot + 1) & last
-            number += self.skip[slot]
-            state = self.target[slot]
-        if not self.final[state]:
-            return None
-        return self.ids[self.begin[number] : self.begin[number + 1]].tobytes()
-
-
-class Encoder(dict):
-    """Whole texts to id bytes, by way of a bounded memo of words and of what else stands between white space.
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """The words' ids as little-endian unsigned 32-bit integers, None where the lexicon lacks one: all walk on together."""
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        text, at = np.frombuffer(b"".join(words), np.uint8), np.cumsum(n) - n
+        state, number, live = np.full(len(words), self.root), np.zeros(len(words), np.int64), np.arange(len(words))
+        for step in range(int(n.max(initial=0))):
+            live = live[n[live] > step]
+            key = state[live] << 8 | text[at[live] + step]
+            slot = (key.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(7)).astype(np.int64) & (self.size - 1)
+            held = self.keys[slot]
+            while len(off := np.flatnonzero((held != key) & (held >= 0))):
+                slot[off] = (slot[off] + 1) & (self.size - 1)
+                held[off] = self.keys[slot[off]]
+            state[live[held < 0]] = -1
+            live, slot = live[held >= 0], slot[held >= 0]
+            number[live] += self.skip[slot]
+            state[live] = self.target[slot]
+        hit = (state >= 0) & (self.final[state] > 0)
+        number = np.where(hit, number, 0)
+        return [self.ids[x:y].tobytes() if h else None for h, x, y in zip(hit.tolist(), self.begin[number].tolist(), self.begin[number + 1].tolist())]
+
+
+class Encoder:
+    """Whole texts to ids, by way of a bounded memo of words and of what else stands between white space.
 
     A full memo becomes the old one, from which what is still used comes back. Words come from the automaton, or are
     merged where it lacks them.
     """
 
     def __init__(self, model: Model, lexicon: Lexicon, most: int = 300_000):
-        super().__init__()
-        self.model, self.lexicon, self.most, self.old = model, lexicon, most, {}
-
-    def remember(self, key: str, value: bytes) -> bytes:
-        if len(key) <= 48:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-    def __missing__(self, chunk: str) -> bytes:
-        if (found := self.old.get(chunk)) is None:
-            parts = [chunk] if chunk.isalpha() else self.model.words.findall(chunk)
-            found = b"".join(map(self.__getitem__, parts)) if parts != [chunk] else self._word(chunk)
-        return self.remember(chunk, found)
-
-    def _word(self, word: str) -> bytes:
-        raw = word.encode("utf-8", "surrogatepass")
-        found = self.lexicon.find(raw)
-        if found is None:
-            ids = self.model.merge(raw)
-            found = struct.pack(f"<{len(ids)}I", *ids)
+        self.model, self.lexicon, self.most = model, lexicon, most
+        self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _remember(self, keys: list[bytes], values: list[bytes]) -> None:
+        if len(self.memo) >= self.most:
+            self.old, self.memo = self.memo, {}
+        self.memo.update((k, v) for k, v in zip(keys, values) if len(k) <= 64)
+
+    def _known(self, keys: list[bytes]) -> tuple[list[bytes | None], list[int]]:
+        """What the memo has for each key, and where it has nothing."""
+        found = list(map(self.memo.get, keys))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        if lacking and self.old:
+            back = [i for i in lacking if keys[i] in self.old]
+            for i in back:
+                found[i] = self.old[keys[i]]
+            self._remember([keys[i] for i in back], [found[i] for i in back])
+            lacking = [i for i in lacking if found[i] is None]
+        return found, lacking
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words, as the model picks them."""
+        found, lacking = self._known(words)
+        for i, ids in zip(lacking, self.lexicon.find([words[i] for i in lacking])):
+            found[i] = ids
+        unseen = [i for i in lacking if found[i] is None]
+        for i, ids in zip(unseen, self.model.merge_many([words[i] for i in unseen])):
+            found[i] = ids
+        self._remember([words[i] for i in lacking], [found[i] for i in lacking])
+        return found
+
+    def look_up(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of distinct chunks; all their words that are new are found or merged together."""
+        found, lacking = self._known(chunks)
+        simple = [i for i in lacking if chunks[i].isalpha()]  # one word, as its bytes are ASCII letters
+        for i, ids in zip(simple, self._words([chunks[i] for i in simple])):
+            found[i] = ids
+        mixed = [i for i in lacking if found[i] is None]
+        pick = self.model.words.findall
+        parts = [[chunks[i]] if (t := chunks[i].decode("utf-8", "surrogatepass")).isalpha() else [w.encode("utf-8", "surrogatepass") for w in pick(t)] for i in mixed]
+        words = list({w for own in parts for w in own})
+        get = dict(zip(words, self._words(words))).__getitem__
+        for i, own in zip(mixed, parts):
+            found[i] = b"".join(map(get, own))
+        self._remember([chunks[i] for i in mixed], [found[i] for i in mixed])
         return found
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids; words that neither memo nor lexicon holds are merged together first."""
-        model, find = self.model, self.lexicon.find
-        chunks: list[list[str] | None] = []
-        for text in texts:
-            if not text.isascii() and model.unsure(text) or any(s in text for s in model.special):
-                chunks.append(None)
-            else:
-                text = model.normal(text)
-                chunks.append(None if _ODD_SPACE.search(text) else text.split())
-        new = set().union(*(c for c in chunks if c is not None)).difference(self, self.old)
-        words = set(filter(str.isalpha, new))
-        for c in new - words:
-            words.update(model.words.findall(c))
-        lacking = []
-        for word in words:
-            if word not in self and word not in self.old:
-                raw = word.encode("utf-8", "surrogatepass")
-                if (found := find(raw)) is None:
-                    lacking.append((word, raw))
-                else:
-                    self.remember(word, found)
-        for (word, _), ids in zip(lacking, model.merge_many([raw for _, raw in lacking])):
-            self.remember(word, ids)
-        return [self.encode(t) if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, chunks)]
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and for each text the number before it."""
+        distinct, codes, first, other = self.model.chunks(texts)
+        found = self.look_up(distinct.to_pylist())
+        ids = np.frombuffer(b"".join(found), "<u4")
+        lengths = np.fromiter(map(len, found), np.int32, len(found)) >> 2
+        begin = np.cumsum(lengths, dtype=np.int32) - lengths
+        n = lengths[codes]
+        ends = np.cumsum(n)
+        place = np.repeat((begin[codes] - (ends - n)).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
+        out = ids[place]
+        bounds = np.append(0, ends)[first]
+        if not other:
+            return out, bounds
+        pieces = [out[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+        for i in other:
+            pieces[i] = np.frombuffer(self.encode(texts[i]), "<u4")
+        return np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
 
     def encode(self, text: str) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit integers; special tokens in the text keep their own ids."""
@@ -360,9 +405,10 @@ class Encoder(dict):
             return struct.pack(f"<{len(ids)}I", *ids)
         if not any(s in text for s in model.special):
             normal = model.normal(text)
-            if _ODD_SPACE.search(normal):
-                return b"".join(map(self.__getitem__, model.words.findall(normal)))
-            return b"".join(map(self.__getitem__, normal.split()))
+            parts = model.words.findall(normal) if _ODD_SPACE.search(normal) else normal.split()
+            parts = [x.encode("utf-8", "surrogatepass") for x in parts]
+            distinct = list(dict.fromkeys(parts))
+            return b"".join(map(dict(zip(distinct, self.look_up(distinct))).__getitem__, parts))
         out, at = [], 0
         for m in model.split.finditer(text):
             out += [self.encode(text[at : m.start()]), struct.pack("<I", model.special[m.group()])]
@@ -375,33 +421,31 @@ def read_spec(path: str) -> dict:
         return json.load(file)
 
 
-def frequent_words(docs: DataFrame, model: Model, sample: int, most: int) -> list[bytes]:
-    """The words that most often occur in about ``sample`` documents (picked by a hash of doc_id), ``most`` at most.
+def frequent_words(docs: DataFrame, model: Model, most: int) -> list[bytes]:
+    """The words that most often stand between white space in all documents, ``most`` at most.
 
-    The sample only decides which words are compiled, never which ids a text gets.
+    Every batch of documents sends its ``most`` most frequent ones with their counts, which are added up.
     """
-    total = max(1, docs.count())
-    share = min(1.0, sample / total)
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("lexicon")), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def run(batches):
-        import pyarrow as pa
-
-        counts: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(model.words.findall(model.normal(text or "")))
-        top = [(w, n) for w, n in counts.most_common(most) if len(w) <= 64]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
+            distinct, codes, _, _ = model.chunks([t or "" for t in batch.column("text").to_pylist()])
+            counts = np.bincount(codes, minlength=len(distinct))
+            top = np.argsort(-counts, kind="stable")[:most]
+            yield pa.RecordBatch.from_arrays([distinct.take(pa.array(top)).cast(pa.binary()), pa.array(counts[top], pa.int64())], ["word", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "word binary, n long").filter(F.length("word") <= 64).groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.filter(F.col("word").cast("string").rlike(r"^\p{L}+$")).orderBy(F.desc("n"), "word").limit(most).select("word").collect()
+    return [w for w in (bytes(r.word) for r in top) if w.decode().isalpha()]
 
-    top = some.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [r.word.encode("utf-8", "surrogatepass") for r in top.select("word").collect()]
 
+def encoder_parts(docs: DataFrame, path: str, most: int = 30_000) -> tuple[str, Model, bytes]:
+    """A name, the model and the compiled lexicon, for a broadcast: the vocabulary's fixed size and at most ``most`` words.
 
-def encoder_parts(docs: DataFrame, path: str, sample: int = 2000, most: int = 30_000) -> tuple[str, Model, bytes]:
-    """A name, the model and the compiled lexicon, for a broadcast: the vocabulary's fixed size and at most ``most`` words."""
+    Which words are compiled decides the speed only, never which ids a text gets.
+    """
     model = Model(read_spec(path))
-    words = frequent_words(docs, model, sample, most)
+    words = frequent_words(docs, model, most)
     return uuid.uuid4().hex, model, compile_lexicon({w: model.merge(w) for w in words})
 
 
@@ -417,29 +461,36 @@ def worker_encoder(shared) -> Encoder:
     return _HELD[name]
 
 
-def decode(ids: bytes, tokens: dict[int, str]) -> str:
-    """What a tokenizer without a decoder gives: the tokens joined by spaces."""
-    return " ".join(map(tokens.__getitem__, memoryview(ids).cast("I")))
+class Decoder:
+    """What a tokenizer without a decoder gives for ids: the tokens joined by spaces."""
+
+    def __init__(self, tokens: dict[int, str]):
+        self.tokens = pa.array([tokens.get(i) for i in range(max(tokens, default=-1) + 1)], pa.large_string())
+
+    def decode(self, ids: np.ndarray, begin: np.ndarray) -> pa.Array:
+        """The texts of ids[begin[i] : begin[i + 1]]."""
+        lists = pa.LargeListArray.from_arrays(pa.array(begin, pa.int64()), self.tokens.take(pa.array(ids)))
+        return pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """Rows (doc_id, n_tokens, ids, decoded): the ids of each whole text (packed 32-bit) and the text they decode to.
 
-    A null or empty text has no ids and decodes to an empty text. Every row gives a row, repeated ids included; extra
-    columns are ignored; an empty table gives an empty result.
+    A null or empty text has no ids and decodes to an empty text. A very long text is encoded whole, in one task's
+    memory. Every row gives a row, repeated and null ids included; extra columns are ignored, whatever their names; an
+    empty table gives an empty result.
     """
-    import pyarrow as pa
-
     shared = docs.sparkSession.sparkContext.broadcast(encoder_parts(docs, path))
 
     def run(batches):
         encoder = worker_encoder(shared)
-        tokens = encoder.model.tokens
+        decoder = Decoder(encoder.model.tokens)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = encoder.encode_many([t or "" for t in part.column("text").to_pylist()])
-                columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([decode(x, tokens) for x in ids], pa.string())]
+            for part in slices(batch):
+                ids, begin = encoder.encode_many([t or "" for t in part.column("text").to_pylist()])
+                raw = ids.tobytes()
+                packed = pa.array([raw[4 * x : 4 * y] for x, y in zip(begin[:-1].tolist(), begin[1:].tolist())], pa.binary())
+                columns = [part.column("doc_id"), pa.array(np.diff(begin), pa.int64()), packed, decoder.decode(ids, begin).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

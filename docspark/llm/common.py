@@ -149,6 +149,15 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
+def slices(batch: pa.RecordBatch, rows: int = 4096, size: int = 8_000_000):
+    """Parts of a batch, each of at most ``rows`` rows and ``size`` bytes of text, or of one longer text."""
+    ends, at = utf8(batch.column("text"))[1], 0
+    while at < batch.num_rows:
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1), batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def in_blocks(batches, rows: int, size: int):
     """Tables of neighbouring rows with a column text, each with a number that no other block of any task has.
 
