@@ -8,6 +8,7 @@ automaton that shares prefixes and suffixes; workers map it into memory, and mer
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import mmap
 import os
@@ -328,7 +329,7 @@ class Encoder:
     merged where it lacks them.
     """
 
-    def __init__(self, model: Model, lexicon: Lexicon, most: int = 300_000):
+    def __init__(self, model: Model, lexicon: Lexicon, most: int = 200_000):
         self.model, self.lexicon, self.most = model, lexicon, most
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -424,12 +425,12 @@ def read_spec(path: str) -> dict:
 def frequent_words(docs: DataFrame, model: Model, most: int) -> list[bytes]:
     """The words that most often stand between white space in all documents, ``most`` at most.
 
-    Every batch of documents sends its ``most`` most frequent ones with their counts, which are added up.
+    Every few thousand documents send their ``most`` most frequent ones with their counts, which are added up.
     """
 
     def run(batches):
-        for batch in batches:
-            distinct, codes, _, _ = model.chunks([t or "" for t in batch.column("text").to_pylist()])
+        for part in itertools.chain.from_iterable(map(slices, batches)):
+            distinct, codes, _, _ = model.chunks([t or "" for t in part.column("text").to_pylist()])
             counts = np.bincount(codes, minlength=len(distinct))
             top = np.argsort(-counts, kind="stable")[:most]
             yield pa.RecordBatch.from_arrays([distinct.take(pa.array(top)).cast(pa.binary()), pa.array(counts[top], pa.int64())], ["word", "n"])
