@@ -191,11 +191,12 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 
     n_links counts the other vectors linked directly, component_id is the smallest vec_id reachable. Vectors that are
     null, empty, zero or hold a null or non-finite component, and those without label or id, link with nothing. Rows
-    that repeat a vec_id are one vector where their class is the same. Vectors of different width never link. Extra
-    columns are ignored; an empty table gives an empty result.
+    that repeat a vec_id are one vector and give one row where their class is the same, or where none can link; a vec_id
+    with unlike vectors has a row for each class. Every row without an id gives a row. Vectors of different width never
+    link, and may be of any width. Extra columns are ignored, whatever their names; an empty table gives an empty result.
     """
     own = stored(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_digests, "vec_id long, label long, embedding array<double>, digest binary"), "vectors")
-    classes = own.filter("digest IS NOT NULL").groupBy("digest").agg(F.min_by(F.struct("vec_id", "label", "embedding"), "vec_id").alias("x"), F.count(F.lit(1)).alias("size"))
+    classes = own.filter("digest IS NOT NULL").groupBy("digest").agg(F.min_by(F.struct("vec_id", "label", "embedding"), "vec_id").alias("x"), F.count_distinct("vec_id").alias("size"))
     classes = stored(classes.select("digest", "size", "x.*"), "classes")
     codes = classes.select("vec_id", "label", "embedding").mapInArrow(_codes, "bucket long, vec_id long, home boolean").groupBy("bucket", "vec_id").agg(F.max("home").alias("home"))
     codes = stored(codes, "codes")
@@ -208,7 +209,9 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "first")
     joined = components(found.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
     of = classes.select("digest", "size", F.col("vec_id").alias("first")).join(links, "first", "left").join(joined, F.col("first") == joined["id"], "left").drop("id")
-    out = own.select("vec_id", "digest").join(of, "digest", "left")
+    usable = own.filter("digest IS NOT NULL").select("vec_id", "digest").distinct().join(of, "digest")
+    alone = own.filter("digest IS NULL AND vec_id IS NOT NULL").select("vec_id").distinct().unionByName(own.filter("vec_id IS NULL").select("vec_id"))
+    out = usable.unionByName(alone, allowMissingColumns=True)
     n_links = F.coalesce(F.col("size") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
     out = out.select("vec_id", n_links.cast("long").alias("n_links"), F.coalesce("component", "first", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
