@@ -133,9 +133,14 @@ def _date(text: str, permute: Permutation) -> str | None:
             continue
         if not _FIRST <= day <= _LAST:
             return None
-        new = _FIRST + datetime.timedelta(permute((day - _FIRST).days, (_LAST - _FIRST).days + 1, b"date"))
+        short = {k for k, v in zip(order, parts) if len(v) == 1}
+        new = day
+        while True:  # walks on to a date whose one-digit parts are one digit again
+            new = _FIRST + datetime.timedelta(permute((new - _FIRST).days, (_LAST - _FIRST).days + 1, b"date"))
+            if not ("m" in short and new.month > 9 or "d" in short and new.day > 9):
+                break
         values = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        return mark.join(values[k] for k in order)
+        return mark.join(values[k][1:] if k in short else values[k] for k in order)
     return None
 
 
@@ -149,7 +154,10 @@ def _phone(text: str, permute: Permutation) -> str | None:
 
 def _email(text: str, permute: Permutation) -> str | None:
     local, _, domain = text.rpartition("@")
-    return permute_characters(local, permute, b"email" + domain.lower().encode()) + "@" + domain
+    name, _, top = domain.rpartition(".")
+    new = permute_characters(name.lower(), permute, b"domain" + top.lower().encode())
+    new = "".join(c.upper() if old.isupper() else c for c, old in zip(new, name))
+    return f"{permute_characters(local, permute, b'email' + domain.lower().encode())}@{new}.{top}"
 
 
 def _secret(text: str, permute: Permutation) -> str | None:
@@ -163,7 +171,7 @@ def _secret(text: str, permute: Permutation) -> str | None:
 
 #: Kinds in the order in which they are tried where they begin at the same place: pattern and pseudonym.
 KINDS = {
-    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
+    "email": (r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),  # from the @ on; the local part is found backwards
     "date": (r"(?<![\d.])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d.]*\d)", _date),
     "ip": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _ip),
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
@@ -213,13 +221,29 @@ def _cards(text: str, m: re.Match) -> list[tuple[int, int]]:
     return [(m.start() + s, m.start() - e) for _, s, e in sorted(out)]
 
 
-#: Of kinds with a check digit: the parts of a match to try, in order, as what stands beside a value may look like more of it.
-_PARTS = {"iban": _ibans, "card": _cards}
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+
+def _emails(text: str, m: re.Match) -> list[tuple[int, int]]:
+    """The address of which m is the end, if a local part stands before it."""
+    start = m.start()
+    while start and text[start - 1] in _LOCAL:
+        start -= 1
+    return [(start, m.end())] if start < m.start() else []
+
+
+#: The parts of a match to try, in order: addresses with their local parts and, of kinds with a check digit, less than the
+#: match, as what stands beside a value may look like more of it.
+_PARTS = {"email": _emails, "iban": _ibans, "card": _cards}
 
 
 def spans(text: str, permute: Permutation) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, pseudonym) of what is found and valid; where two overlap, the kind listed first stays."""
+    """(start, end, kind, pseudonym) of what is found and valid; where two overlap, the kind listed first stays.
+
+    The time is in proportion to the text, but for what a pattern may look back, which no pattern repeats.
+    """
     found: list[tuple[int, int, str, str]] = []
+    taken: bytearray | None = None
     digits, at = _HINT.search(text) is not None, "@" in text
     for kind, pattern in _FIND.items():
         if not (at if kind == "email" else digits):
@@ -228,11 +252,13 @@ def spans(text: str, permute: Permutation) -> list[tuple[int, int, str, str]]:
         while m := pattern.search(text, place):
             begin, place = len(found), m.end()
             for start, end in _PARTS[kind](text, m) if kind in _PARTS else [m.span()]:
-                if any(s < end and start < e for s, e, *_ in found):
+                if taken is not None and any(taken[start:end]):
                     continue
                 new = KINDS[kind][1](text[start:end], permute)
                 if new is not None:
                     found.append((start, end, kind, new))
+                    taken = bytearray(len(text)) if taken is None else taken
+                    taken[start:end] = b"\1" * (end - start)
             if kind == "iban":
                 place = found[-1][1] if len(found) > begin else m.start() + 1
     return sorted(found)
@@ -252,11 +278,14 @@ def replace_pii(docs: DataFrame, key: bytes = b"docspark") -> DataFrame:
 
     E-mail addresses, dates, IPv4 addresses, social security numbers, phone numbers, IBANs, card numbers and secrets
     are found by pattern and, where the format has a check, validated (calendar, ranges, Luhn, mod 97); what fails
-    stays. Of a run of groups that is no card or IBAN as a whole, the runs of its groups are tried. A value is permuted within its format by a Feistel network under the key, so equal values get equal
-    pseudonyms in all documents, different ones different pseudonyms, and check digits hold. Nothing is shuffled.
-
-    A null text stays null with no kinds; an empty one stays empty. All rows and columns stay; a column named pii
-    gives way to the new one. ``key`` must be kept secret in real use.
+    stays. Of a run of groups that is no card or IBAN as a whole, the runs of its groups are tried. A value is permuted
+    within its format by a Feistel network under the key, so equal values get equal pseudonyms in all documents,
+    different ones different pseudonyms, and check digits and widths hold; of an address the top-level domain stays.
+    Nothing is shuffled.
+
+    A null text stays null with no kinds; an empty one stays empty. A very long text is searched whole, in time
+    proportional to its length. All rows stay, repeated and null ids too, and all columns; a column named pii gives way
+    to the new one. An empty table gives an empty result. ``key`` must be kept secret in real use.
     """
 
     def run(batches):

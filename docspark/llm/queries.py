@@ -63,8 +63,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The key of the pseudonyms: spark.docspark.pii.key, or a public one for tests."""
+    return spark.conf.get("spark.docspark.pii.key", "docspark").encode()
+
+
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
