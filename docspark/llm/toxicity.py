@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import LOWER, M1, mix, span_hashes, utf8
+from docspark.llm.common import LOWER, M1, mix, span_hashes, stored, utf8
 
 #: Prefix lengths that are features beside the whole word (0), features of a model, folds, ridge penalty.
 PREFIXES, FEATURES, FOLDS, RIDGE = (0, 4, 5, 6), 256, 5, 1.0
+#: Features of the sample that the driver gets for each category, those whose log odds differ most surely.
+LIKELY = 2048
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -51,7 +53,7 @@ def _distinct(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass
 class Linear:
-    """A logistic model on the presence of some features and on the logits of earlier categories."""
+    """A logistic model on the presence of some features and on the probabilities of earlier categories."""
 
     keys: np.ndarray
     weights: np.ndarray
@@ -72,7 +74,7 @@ def fit(found: np.ndarray, codes: np.ndarray, of: np.ndarray, label: np.ndarray,
     """A model from features found[codes] of documents ``of``. Choose the features whose log odds differ most surely between the classes, then fit with a ridge penalty."""
     n, yes = len(label), int(label.sum())
     if not 0 < yes < n:
-        rate = (yes + 0.5) / (n + 1)
+        rate = (yes + 0.5) / (n + 2)  # a quarter, where nothing is known
         return Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(earlier.shape[1]), float(np.log(rate / (1 - rate))))
     a = np.bincount(codes[label[of] > 0], minlength=len(found)).astype(float)
     b = np.bincount(codes, minlength=len(found)) - a
@@ -100,12 +102,12 @@ def fit(found: np.ndarray, codes: np.ndarray, of: np.ndarray, label: np.ndarray,
     return Linear(found[chosen], w[: len(chosen)], w[len(chosen) : -1], float(w[-1]))
 
 
-def fit_chain(keys: np.ndarray, of: np.ndarray, labels: np.ndarray) -> list[Linear]:
-    """One model for each column of labels, in order; a model learns from out-of-fold logits of the earlier ones."""
+def fit_chain(found: np.ndarray, codes: np.ndarray, of: np.ndarray, labels: np.ndarray) -> list[Linear]:
+    """One model for each column of labels, in order; a model learns from out-of-fold probabilities of the earlier ones.
+
+    Document of[i] has the feature found[codes[i]].
+    """
     n = len(labels)
-    found, codes = np.unique(keys, return_inverse=True)
-    codes, of = codes.astype(np.int32), of.astype(np.int32)
-    del keys
     fold = np.arange(n) % FOLDS
     earlier = np.zeros((n, 0))
     chain = []
@@ -125,17 +127,21 @@ def fit_chain(keys: np.ndarray, of: np.ndarray, labels: np.ndarray) -> list[Line
             rows = to[of] >= 0
             outside[test] = model.logits(found[codes[rows]], to[of[rows]], len(test), earlier[test])
         chain.append(fit(found, codes, of, label, earlier))
-        earlier = np.column_stack([earlier, np.clip(outside, -20, 20)])
+        earlier = np.column_stack([earlier, _probability(outside)])
     return chain
 
 
 def predict(chain: list[Linear], texts: pa.Array) -> np.ndarray:
     """Probabilities [text, category]."""
     keys, of = features(texts)
-    logits = np.zeros((len(texts), 0))
+    out = np.zeros((len(texts), 0))
     for model in chain:
-        logits = np.column_stack([logits, np.clip(model.logits(keys, of, len(texts), logits), -20, 20)])
-    return 1 / (1 + np.exp(-logits))
+        out = np.column_stack([out, _probability(model.logits(keys, of, len(texts), out))])
+    return out
+
+
+def _probability(logits: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logits, -20, 20)))
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most: int = 8000) -> list[Linear]:
@@ -146,7 +152,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     """
     own = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(c.cast("int")).alias(f"label_{i}") for i, c in enumerate(categories.values())])
     share = min(1.0, most / max(1, own.count()))
-    some = own.filter(F.pmod(F.xxhash64("doc_id", F.lit("chain")), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * most)
+    some = own.filter(F.pmod(F.xxhash64("doc_id", F.lit("chain")), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy(F.xxhash64("doc_id", F.lit("chain")), "doc_id").limit(2 * most)
 
     def run(batches):
         for batch in batches:
@@ -159,24 +165,61 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
 
     named = [f"label_{i}" for i in range(len(categories))]
     sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", *named, "text")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} int" for c in named) + ", keys array<long>"
-    rows = sample.mapInArrow(run, schema).toArrow().sort_by("doc_id").combine_chunks()
-    lists = rows.column("keys").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int64()))
-    keys = lists.flatten().to_numpy().view(np.uint64) if rows.num_rows else np.zeros(0, np.uint64)
-    of = np.repeat(np.arange(rows.num_rows), np.array(lists.value_lengths().to_pylist(), int)) if rows.num_rows else np.zeros(0, int)
-    y = np.column_stack([rows.column(c).fill_null(0).to_numpy() for c in named]) if rows.num_rows else np.zeros((0, len(named)))
-    return fit_chain(keys, of, y)
+    labelled = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} int" for c in named)
+    sample = stored(sample.mapInArrow(run, f"{labelled}, keys array<long>"), "sample")
+    n, *yes = sample.agg(F.count(F.lit(1)), *[F.sum(F.coalesce(c, F.lit(0))) for c in named]).first()
+
+    def count(batches):
+        for batch in batches:
+            lists = batch.column("keys")
+            of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            keys, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            held = [np.bincount(place, (batch.column(c).fill_null(0).to_numpy() > 0)[of], len(keys)).astype(np.int64) for c in named]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(place, minlength=len(keys))), *map(pa.array, held)], ["key", "n", *named])
+
+    counts = sample.mapInArrow(count, "key long, n long, " + ", ".join(f"{c} long" for c in named)).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", *named)]).filter("n >= 4")
+    counts = stored(counts, "features")
+    likely: set[int] = set()
+    for c, own in zip(named, yes):
+        a, b, y, z = F.col(c) + 0.5, F.col("n") - F.col(c) + 0.5, F.lit(float(own or 0)) - F.col(c) + 0.5, F.lit(float(n - (own or 0))) - F.col("n") + F.col(c) + 0.5
+        sure = F.abs(F.log(a / y) - F.log(b / z)) / F.sqrt(1 / a + 1 / b + 1 / y + 1 / z)
+        likely.update(r.key for r in counts.orderBy(F.desc(sure), "key").limit(LIKELY).select("key").collect())
+    found = np.sort(np.array(list(likely), np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+
+    def pick(batches):
+        known = shared.value
+        for batch in batches:
+            lists = batch.column("keys")
+            keys, of = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+            hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+            begin = np.searchsorted(of[hit], np.arange(batch.num_rows + 1)).astype(np.int32)
+            codes = pa.ListArray.from_arrays(pa.array(begin), pa.array(at[hit].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "keys"), codes], [*(c for c in batch.schema.names if c != "keys"), "codes"])
+
+    rows = sample.mapInArrow(pick, f"{labelled}, codes array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    if not rows.num_rows:
+        return fit_chain(found.view(np.uint64), np.zeros(0, int), np.zeros(0, int), np.zeros((0, len(named))))
+    lists = rows.column("codes").combine_chunks()
+    of = np.repeat(np.arange(rows.num_rows), lists.value_lengths().to_numpy())
+    order = np.argsort(found.view(np.uint64))
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return fit_chain(found.view(np.uint64)[order], rank[lists.flatten().to_numpy()], of, np.column_stack([rows.column(c).fill_null(0).to_numpy() for c in named]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most: int = 8000) -> DataFrame:
     """docs with a column p_<category> for each category: its probability for the whole text.
 
-    The models (a bounded number of weights) are broadcast; documents are scored where they lie, with no shuffle. A
-    null or empty text has no features. Every row gives a row; all columns of docs stay. Without labels, or where a
-    category has one class only, its probability is near the base rate.
+    The chain learns from a bounded sample of the labelled documents. The models (a bounded number of weights) are broadcast; documents are scored where they lie, with no shuffle. A
+    null or empty text has no features; a very long text is scored whole. Every row gives a row, repeated and null ids
+    too; all columns of docs stay, but one named like a new one gives way to it. Without labels
+    a probability is a quarter; where a category has one class only, it is near the base rate. An empty table gives an empty result.
     """
     chain = docs.sparkSession.sparkContext.broadcast(train_chain(docs, labels, categories, most))
     names = [f"p_{c}" for c in categories]
+    docs = docs.drop(*names)
 
     def run(batches):
         for batch in batches:
