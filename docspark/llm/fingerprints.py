@@ -13,6 +13,8 @@ from docspark.llm.common import M1, M2, mix, pack, partitions, sorted_groups, sp
 
 #: Cells of the fingerprint, growth of a failed comparison's sketch, a paragraph's mean length in words within a line.
 CELLS, GROWTH, MEAN_WORDS = 24, 4, 8
+#: Bytes of text to a range of ids on average, which a task holds at once.
+RANGE = 1 << 25
 _LEAST = np.iinfo(np.int64).min
 
 
@@ -195,15 +197,17 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     of a range is also sent to the range before, so neighbours meet without a global order in one task.
 
     A null or empty text has no paragraphs; a null doc_id comes before all others; rows that repeat an id follow each
-    other by text. Extra columns are ignored; an empty table gives an empty result.
+    other by text. A very long text is sketched whole, with the range that holds it in one task's memory. Extra columns
+    are ignored, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"), "text")
-    n = 2 * partitions(spark)
+    mass = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(2 * partitions(spark), mass // RANGE)
     found = keyed.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n).alias("at"), F.min("key").alias("least")).first()
     bounds = np.unique(np.array([b for b in found["at"] or [] if b > found["least"]], np.int64))
     least = found["least"] if found["least"] is not None else 0
-    dealt = keyed.mapInArrow(_deal(bounds, least), "bucket long, blob binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    dealt = keyed.mapInArrow(_deal(bounds, least), "bucket long, blob binary").repartition(max(partitions(spark), n // 8), "bucket").sortWithinPartitions("bucket")
     schema = f"doc_id {kind}, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.mapInArrow(_versions, schema)

@@ -29,7 +29,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     the positions of common lines come back to their document, which is put together again in order. Documents are
     told apart by doc_id; rows that repeat an id count once, and each keeps its own result. A null doc_id is one
     document. A null or empty text is one empty line, and an empty line has no key, so it always stays. ``row`` has
-    all columns but text as they were; an empty table gives an empty result.
+    all columns but text as they were, whatever their names; a very long text is split whole; an empty table gives an
+    empty result.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
     lines = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))

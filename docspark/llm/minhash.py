@@ -185,11 +185,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
 
     Each row of docs gives a row. Rows with the same doc_id are one document, whose sets may differ; a null doc_id
     links with nothing and has a null component_id. A text that is null, empty or without words has an empty set and
-    stands alone. Extra columns are ignored; an empty table gives an empty result.
+    stands alone. A very long text is taken whole: its set is one row. Extra columns are ignored, whatever their names;
+    an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(docs.mapInArrow(_sign(words), _SIGNED), "signed")
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    alone = signed.filter("n_shingles = 0")  # equal keys, but linked with nothing: they stay out of the join
     classes = stored(full.groupBy("key1", "key2", "n_shingles").agg(F.min_by(F.struct("doc_id", "signature"), "doc_id").alias("x")).select("key1", "key2", "n_shingles", "x.*"), "classes")
     width = 2 * ROWS
     band = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda j: F.xxhash64(j, F.substring("signature", j * width + 1, F.lit(width))))
@@ -206,8 +208,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     sets = stored(docs.hint("merge").join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "sets")
     full_sets = clusters.join(signatures, "doc_id").join(sets, "doc_id")
     joined = components(dealt(full_sets).mapInArrow(_join_verified(bounds, percent), "a long, b long"), "verified")
-    out = signed.alias("s").join(classes.select("key1", "key2", "n_shingles", F.col("doc_id").alias("first")), ["key1", "key2", "n_shingles"], "left")
+    out = signed.filter("n_shingles > 0").alias("s").join(classes.select("key1", "key2", "n_shingles", F.col("doc_id").alias("first")), ["key1", "key2", "n_shingles"], "left")
     out = out.join(joined, out["first"] == joined["id"], "left").drop("id")
-    whole = F.when(F.col("n_shingles") > 0, F.coalesce("component", "first")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), whole).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first")).alias("component_id"))
+    out = out.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

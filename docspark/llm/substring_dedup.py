@@ -13,6 +13,8 @@ from docspark.llm.common import M1, M2, blocks, mix, pack, partitions, sorted_gr
 
 #: Words of the runs of which the least hash is a window's minimiser.
 MINIMISER = 3
+#: Bytes of text to a bucket on average, whose strings a task holds at once.
+BUCKET = 1 << 23
 _LAST = np.iinfo(np.int64).max
 
 
@@ -180,20 +182,23 @@ def drop_repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
     Words are runs without ASCII white space, unchanged; a window is ``window`` words in a row. Documents are packed
     into blocks. A block sends each distinct run of consecutive windows with one minimiser as one packed string, with
     the least doc_id that holds it there, to the minimiser's bucket, so a passage of many documents arrives once from
-    each block. A bucket sorts the windows by 128 bits of hash, finds each window's least doc_id, and answers blocks
+    each block. A bucket sorts the windows by their hashes, finds each window's least doc_id, and answers blocks
     whose documents are larger. Blocks then mark and remove; windows are judged on the input.
 
-    A null or empty text has no words and keeps an empty text. Rows that share a doc_id do not remove each other's
-    words; a null doc_id counts as the largest. Kept words are joined by one space. Extra columns are ignored; an
-    empty table gives an empty result.
+    A null or empty text has no words and keeps an empty text. A very long text is taken whole, as a block of its own.
+    Rows that share a doc_id do not remove each other's words; a null doc_id counts as the largest. Kept words are
+    joined by one space. Extra columns are ignored, whatever their names; an empty table gives an empty result. Windows
+    are told apart by two mixes of the 64-bit hashes of their words, words by those hashes.
     """
     kind = docs.schema["doc_id"].dataType
     packed = blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    buckets = 4 * partitions(docs.sparkSession)
+    mass = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(partitions(docs.sparkSession), mass // (1 << 27))
+    buckets = max(4 * tasks, mass // BUCKET)
     sent = packed.mapInArrow(_send(window, buckets), "bucket long, block long, blob binary")
-    sent = sent.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    sent = sent.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     answers = sent.mapInArrow(_count(window), "block long, kind int, blob binary")
     both = packed.select("block", F.lit(0).alias("kind"), "blob").unionByName(answers)
-    both = both.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block")
+    both = both.repartition(tasks, "block").sortWithinPartitions("block")
     out = both.mapInArrow(_remove(window, pa.int64()), "doc_id long, n_words long, n_removed long, kept string")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
