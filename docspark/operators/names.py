@@ -3,57 +3,46 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from itertools import chain, count
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def json_keys(headers: Iterable[str]) -> list[str]:
-    """Distinct keys for a header row: blank ones become column_N, repeats take the first free base_2, base_3 and so on.
+def _numbered(names: Iterable[tuple[str, str]], mark: str, same: Callable[[str], str]) -> list[str]:
+    """Names given as (stem, end), told apart by numbers between the two.
 
-    A key that is spelled out in the header is not given to an earlier repeat's successor: later cells see all keys
-    already given, and nothing else.
+    Each wish has an endless row of suffixes: none, then 2, 3 and so on. Equal wishes share a row and go on where the one
+    before stopped, past every name that is given by then, so that many equal ones take time in proportion.
     """
-    given: set[str] = set()
-    following: dict[str, int] = {}
-    out = []
-    for place, header in enumerate(headers, 1):
-        base = header if header.strip() else f"column_{place}"
-        key, n = base, following.get(base, 2)
-        while key in given:
-            key, n = f"{base}_{n}", n + 1
-        following[base] = n
-        given.add(key)
-        out.append(key)
-    return out
-
-
-def same_file_key(name: str) -> str:
-    """Names with equal keys may be one file on some file systems."""
-    return unicodedata.normalize("NFC", name.lower())
+    rows: dict[str, Iterable[str]] = {}
+    given: dict[str, str] = {}
+    for stem, end in names:
+        row = rows.setdefault(same(stem + end), chain([""], (f"{mark}{n}" for n in count(2))))
+        name = next(x for x in (stem + suffix + end for suffix in row) if same(x) not in given)
+        given[same(name)] = name
+    return list(given.values())
+
+
+def json_keys(headers: Iterable[str]) -> list[str]:
+    """Distinct keys for a header row: blank ones become column_N, repeats take the first free base_2, base_3 and so on."""
+    return _numbered(((header if header.strip() else f"column_{place}", "") for place, header in enumerate(headers, 1)), "_", str)
+
 
+def folded(name: str) -> str:
+    """Equal for names that may be one file on some file systems."""
+    return unicodedata.normalize("NFC", name.lower())
 
-class UniqueNames:
-    """Names of a folder in the order in which they are claimed: a taken one gets -2, -3 and so on before its extension."""
 
-    def __init__(self) -> None:
-        self._taken: set[str] = set()
-        self._following: dict[str, int] = {}
+def file_names(names: Iterable[str]) -> list[str]:
+    """Names for files of one folder, in order: a taken one gets -2, -3 and so on before its extension."""
+    def parts(name: str) -> tuple[str, str]:
+        at = name.rfind(".")
+        return (name[:at], name[at:]) if at > 0 else (name, "")
 
-    def claim(self, name: str) -> str:
-        stem, dot, end = name.rpartition(".")
-        stem, dot = (stem, dot + end) if stem else (name, "")
-        key = same_file_key(name)
-        n = self._following.get(key, 2)
-        base = key
-        while key in self._taken:
-            name, n = f"{stem}-{n}{dot}", n + 1
-            key = same_file_key(name)
-        self._following[base] = n
-        self._taken.add(key)
-        return name
+    return _numbered(map(parts, names), "-", folded)
 
 
 def json_keys_column(headers: Column) -> Column:
@@ -64,3 +53,13 @@ def json_keys_column(headers: Column) -> Column:
         return batch.map(lambda h: json_keys(list(h)))
 
     return keys(headers)
+
+
+def file_names_column(names: Column) -> Column:
+    """file_names on an array column of the names of one folder."""
+
+    @F.pandas_udf("array<string>")
+    def claimed(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda n: file_names(list(n)))
+
+    return claimed(names)

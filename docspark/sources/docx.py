@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from docspark.plans.plan import ConvertError
 from docspark.sources.blocks import Builder, Grid, block, run
-from docspark.sources.drawing import PictureReader
+from docspark.sources.drawing import WordPictures
 from docspark.sources.opc import Archive, Handler, parts_of, resolve_target, targets, walk
 
 DOCUMENT = "word/document.xml"
@@ -120,7 +120,7 @@ class Body(Handler):
     def __init__(self, package: dict, to, notes: dict, numbers: dict | None, page_fields: bool = False):
         self.package, self.to, self.notes, self.numbers, self.page_fields = package, to, notes, numbers, page_fields
         self.builder = Builder()
-        self.pictures = PictureReader(to, word=True)
+        self.pictures = WordPictures(to)
         self.instruction: str | None = None
         self.hidden = False
 
@@ -134,7 +134,7 @@ class Body(Handler):
 
     def start(self, name, attrs, full, above):
         b = self.builder
-        if picture := self.pictures.start(name, attrs, full, above):
+        if picture := self.pictures.start(name, attrs, above):
             b.image(picture)
         value, in_run = attrs.get("val"), above.within("r")
         if name == "p":
@@ -158,7 +158,7 @@ class Body(Handler):
         elif b.grids and name == "gridCol":
             b.grids[-1].columns += 1
         elif b.grids and name == "gridSpan" and above.within("tcPr"):
-            b.grids[-1].cell["cols"] = number(value, 1)
+            b.grids[-1].cell["cols"] = max(1, number(value, 1))
         elif b.grids and name == "vMerge" and above.within("tcPr"):
             b.grids[-1].cell["up"] = value != "restart"
         elif in_run:
@@ -200,9 +200,9 @@ class Body(Handler):
             if done := b.end_paragraph():
                 b.blocks.append(self._classify(done))
         elif name == "tc" and b.grids:
-            b.grids[-1].end_cell()
+            b.grids[-1].next_cell()
         elif name == "tr" and b.grids:
-            b.grids[-1].end_row()
+            b.grids[-1].next_row()
         elif name == "tbl":
             b.end_grid()
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from docspark.sources.blocks import Builder, Grid, append_run, block, is_blank, run
 from docspark.sources.docx import number
-from docspark.sources.drawing import PictureReader
+from docspark.sources.drawing import ShapePictures
 from docspark.sources.opc import Archive, Handler, parts_of, resolve_target, targets
 
 PRESENTATION = "ppt/presentation.xml"
@@ -26,7 +26,7 @@ class Slide(Handler):
 
     def __init__(self, to, notes: bool = False):
         self.to, self.notes = to, notes
-        self.builder, self.pictures = Builder(), PictureReader(to, word=False)
+        self.builder, self.pictures = Builder(), ShapePictures(to)
         self.title: list[dict] = []
         self.hidden = False
         self.shape: dict | None = None
@@ -34,7 +34,7 @@ class Slide(Handler):
     def start(self, name, attrs, full, above):
         b, in_run = self.builder, above.within("r") or above.within("fld")
         if not self.notes:
-            self.pictures.start(name, attrs, full, above)
+            self.pictures.start(name, attrs, above)
         if name == "sld":
             self.hidden = attrs.get("show") == "0"
         elif name == "sp":
@@ -77,9 +77,9 @@ class Slide(Handler):
             shape, self.shape = self.shape, None
             self._place(shape)
         elif name == "tc" and b.grids:
-            b.grids[-1].end_cell()
+            b.grids[-1].next_cell()
         elif name == "tr" and b.grids:
-            b.grids[-1].end_row()
+            b.grids[-1].next_row()
         elif name == "tbl":
             b.end_grid()
 
