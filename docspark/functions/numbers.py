@@ -17,22 +17,23 @@ def float_text(x: Column) -> Column:
 
 
 def json_number(x: Column) -> Column:
-    """A whole number as an integer, another finite one as a decimal, else null."""
-    whole = (x == F.floor(x)) & (F.abs(x) < EXACT)
-    odd = F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.when(odd, F.lit("null")).when(whole, x.cast("long").cast("string")).otherwise(F.to_json(F.struct(x.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(x.alias("v")))) - 6))
+    """A whole number as an integer while doubles hold every integer, another finite one as the shortest decimal, else null.
+
+    A whole number beyond EXACT keeps a point; from 1e16 on and below 1e-5 numbers have an exponent.
+    """
+    size, whole = F.abs(x), x == F.floor(x)
+    plain = float_text(x)
+    power = F.lower(F.replace(x.cast("string"), F.lit(".0E"), F.lit("E")))
+    return (
+        F.when(F.isnan(x) | (size == float("inf")), F.lit("null"))
+        .when(whole & (size < EXACT), x.cast("long").cast("string"))
+        .when((size >= 1e16) | (size < 1e-5), power)
+        .when(whole, F.concat(plain, F.lit(".0")))
+        .otherwise(plain)
+    )
 
 
 def json_text(text: Column) -> Column:
     """A JSON string with the usual escapes."""
     whole = F.to_json(F.struct(text.alias("v")))
     return F.substring(whole, F.lit(6), F.length(whole) - 6)
-
-
-def serial_datetime(serial: Column, elapsed: Column) -> Column:
-    """A spreadsheet's serial day number as text: a span of hours, a date, a time, or both (whole seconds)."""
-    seconds = F.floor(serial * 86400 + 1e-6).cast("long")
-    clock = F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600) % 24, F.floor(seconds / 60) % 60, seconds % 60)
-    span = F.format_string("%d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)
-    day = F.date_format(F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int")), "yyyy-MM-dd")
-    return F.when(elapsed, span).when(serial < 1, clock).when(seconds % 86400 == 0, day).otherwise(F.concat(day, F.lit("T"), clock))

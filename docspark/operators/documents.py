@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions.text import escape_block_start, escape_cell, hard_breaks, heading, list_item
@@ -17,6 +17,8 @@ def without_furniture(blocks: DataFrame) -> DataFrame:
 def resolve_images(blocks: DataFrame, images: DataFrame | None) -> DataFrame:
     """Image runs get the source under which their part was saved; the others go, and so do blocks left blank.
 
+    A note's blocks stay, so that what refers to it still has something to refer to.
+
     images has (path, part, source). The parts of a document are few, so they join as one map by path.
     """
     if images is None:
@@ -33,7 +35,7 @@ def resolve_images(blocks: DataFrame, images: DataFrame | None) -> DataFrame:
 
     grid = F.transform("grid", lambda row: F.transform(row, lambda c: c.withField("runs", resolved(c["runs"]))))
     out = joined.withColumn("runs", resolved(F.col("runs"))).withColumn("grid", grid).drop("sources")
-    return out.filter(F.col("kind").isin("table", "rule") | ~is_blank(F.col("runs")))
+    return out.filter(F.col("kind").isin("table", "rule") | (F.col("section") == "note") | ~is_blank(F.col("runs")))
 
 
 def shown_images(blocks: DataFrame) -> DataFrame:
@@ -97,13 +99,6 @@ def markdown(blocks: DataFrame) -> DataFrame:
     return whole.select("path", F.concat(F.array_join(F.transform("us", lambda u: u["t"]), "\n\n"), F.lit("\n")).alias("text"))
 
 
-def separators(blocks: DataFrame) -> DataFrame:
-    """blocks with what stands before each: nothing, a line end within lists, else a blank line."""
-    before = F.lag("kind").over(Window.partitionBy("path").orderBy("seq"))
-    sep = F.when(before.isNull(), F.lit("")).when((before == "list_item") & (F.col("kind") == "list_item"), F.lit("\n")).otherwise(F.lit("\n\n"))
-    return blocks.withColumn("separator", sep)
-
-
 def picture_lists(pictures: DataFrame, images: DataFrame) -> DataFrame:
     """(path, sheet_no, pictures): the saved pictures of each sheet as Markdown paragraphs, in their order.
 

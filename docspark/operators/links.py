@@ -1,30 +1,11 @@
-"""Relationships and links of packages and pages."""
+"""Links of pages."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docspark.functions.text import is_safe_link, resolve_target
-
 
 def hrefs(html: Column) -> Column:
     """The targets of all href attributes, in order."""
     return F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1))
-
-
-def links(rels: DataFrame) -> DataFrame:
-    """Hyperlink relationships with a safe target: (path, part, id, target)."""
-    return rels.filter((F.col("kind") == "hyperlink") & is_safe_link(F.col("target"))).select("path", "part", "id", "target")
-
-
-def internal(rels: DataFrame, *kinds: str) -> DataFrame:
-    """Relationships of these kinds that stay inside the package, with the part they lead to."""
-    chosen = rels.filter(F.col("kind").isin(*kinds) & ~F.col("external"))
-    return chosen.withColumn("to_part", resolve_target(F.col("part"), F.col("target")))
-
-
-def follow(rels: DataFrame, first: str, then: str) -> DataFrame:
-    """Two hops: from parts of one kind to parts of another, as (path, part, to_part)."""
-    a, b = internal(rels, first), internal(rels, then)
-    return a.select("path", "part", F.col("to_part").alias("via")).join(b.select("path", F.col("part").alias("via"), "to_part"), ["path", "via"]).select("path", "part", "to_part")

@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.operators.names import UniqueNames, same_file_key
+from docspark.functions.text import safe_file_name
+from docspark.operators.names import file_names, folded
 from docspark.plans.plan import ConvertError
 
 MARKS = {"png": ["png"], "jpeg": ["jpg", "jpeg"], "gif": ["gif"], "webp": ["webp"], "bmp": ["bmp"], "tiff": ["tiff", "tif"], "emf": ["emf"], "wmf": ["wmf"]}
@@ -22,7 +23,11 @@ def check_not_input(output: str, inputs: list[str]) -> None:
 
 
 def write_text(rendered: DataFrame, folder: str) -> None:
-    """Rendered rows (name, text) to files of that name; tasks write their own rows, nothing is collected."""
+    """Rendered rows (name, text) to files of that name; tasks write their own rows, nothing is collected.
+
+    The folder must be one that all executors share.
+    """
+    folder = os.path.abspath(folder)
 
     def run(rows):
         os.makedirs(folder, exist_ok=True)
@@ -49,13 +54,13 @@ def name_images(images: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(key, pdf):
-        names = UniqueNames()
         pdf = pdf.sort_values("part").reset_index(drop=True)
-        pdf["name"] = [names.claim(image_name(p, f)) for p, f in zip(pdf["part"], pdf["format"])]
-        pdf["same"] = [same_file_key(n) for n in pdf["name"]]
-        return pdf
+        pdf["name"] = file_names(image_name(p, f) for p, f in zip(pdf["safe"], pdf["format"]))
+        pdf["same"] = [folded(n) for n in pdf["name"]]
+        return pdf.drop(columns="safe")
 
-    claimed = images.select("path", "part", "format", "sha2").groupBy("path").applyInPandas(run, "path string, part string, format string, sha2 string, name string, same string")
+    safe = safe_file_name(F.element_at(F.split("part", "/"), -1))
+    claimed = images.select("path", "part", "format", "sha2", safe.alias("safe")).groupBy("path").applyInPandas(run, "path string, part string, format string, sha2 string, name string, same string")
     first = claimed.groupBy("same").agg(F.min(F.struct("path", "part", "sha2"))["sha2"].alias("first"))
     name = F.when(F.col("sha2") == F.col("first"), F.col("name")).otherwise(F.concat("sha2", F.lit("/"), "name"))
     source = F.concat(F.lit(f"{folder}/" if folder else ""), "name")
@@ -63,7 +68,11 @@ def name_images(images: DataFrame, folder: str) -> DataFrame:
 
 
 def write_images(images: DataFrame, named: DataFrame, folder: str) -> None:
-    """The bytes of images to files of their names; tasks write their own rows, nothing is collected."""
+    """The bytes of images to files of their names; tasks write their own rows, nothing is collected.
+
+    The folder must be one that all executors share.
+    """
+    folder = os.path.abspath(folder)
 
     def run(rows):
         for row in rows:

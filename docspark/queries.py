@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from docspark.convert import table_text
 from docspark.functions import text as X
-from docspark.functions.numbers import float_text
+from docspark.functions.numbers import float_text, json_number
 from docspark.operators import documents, links, runs, tables
-from docspark.plans.plan import matrix_rows
+from docspark.operators.names import file_names_column
+from docspark.plans.plan import OUTPUTS, Options
 from docspark.sources import files as sources
 from docspark.sources import samples
 
@@ -210,14 +215,15 @@ def safe_names_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS n FROM part)
-SELECT p_partkey, p_name || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.csv' AS file_name FROM r
+WITH r AS (SELECT p_brand, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey) AS n FROM part)
+SELECT p_brand, p_partkey, p_name || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.csv' AS file_name FROM r
 """)
 def unique_names_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No name here ends in a number of its own, so ranks within equal names give what claiming one by one gives."""
-    n = F.row_number().over(Window.partitionBy(F.lower("p_name")).orderBy("p_partkey"))
-    suffix = F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise(F.lit(""))
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name", n.alias("n")).select("p_partkey", F.concat("p_name", suffix, F.lit(".csv")).alias("file_name"))
+    """The file names of each brand's folder. No name here ends in a number of its own, so SQL can rank equal ones."""
+    wanted = F.array_sort(F.collect_list(F.struct("p_partkey", F.concat("p_name", F.lit(".csv")).alias("name"))))
+    own = table(spark, sf_dir, "part").groupBy("p_brand").agg(wanted.alias("wanted"))
+    given = own.withColumn("given", file_names_column(F.transform("wanted", lambda w: w["name"])))
+    return given.select("p_brand", F.explode(F.arrays_zip("wanted", "given")).alias("x")).select("p_brand", "x.wanted.p_partkey", F.col("x.given").alias("file_name"))
 
 
 @query("""
@@ -258,24 +264,50 @@ def note_numbers_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.number_by_first(table(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id")
 
 
-@query("SELECT doc_id, source, lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
-def note_semi_join_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(notes, "doc_id", "left_semi")
+def _shown(x: str) -> str:
+    return f"replace({x}, '_', '\\_')"
 
 
-@query("SELECT d.doc_id, coalesce(CASE l.toxic WHEN 1 THEN 'numbered' WHEN 0 THEN 'bullet' END, 'none') AS list_kind FROM documents d LEFT JOIN labels l USING (doc_id)")
-def style_join_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    styles = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "numbered").when(F.col("toxic") == 0, "bullet").alias("list_kind"))
-    return table(spark, sf_dir, "documents").select("doc_id").join(styles, "doc_id", "left").fillna("none", ["list_kind"])
+_REPORT_SQL = f"""
+WITH n AS (SELECT n_regionkey AS r, n_nationkey AS k, {_shown('n_name')} AS t, n_nationkey % 8 AS kind FROM nation),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY r, kind ORDER BY k) AS nth FROM n),
+made AS (SELECT *, kind IN (2, 3) AS item, CASE kind
+  WHEN 0 THEN '## ' || t WHEN 1 THEN '**' || t || '**' WHEN 2 THEN '1. ' || t WHEN 3 THEN '    - ' || t WHEN 4 THEN '[' || t || '](https://x.y/' || k || ')' WHEN 5 THEN t
+  WHEN 6 THEN t || '[^' || nth || ']' ELSE '| ' || rpad(t, greatest(3, length(t), length('' || k))::INT, ' ') || ' |     |' || chr(10) || '| ' || repeat('-', greatest(3, length(t), length('' || k))::INT) || ' | --- |' || chr(10)
+  || '| ' || rpad('' || k, greatest(3, length(t), length('' || k))::INT, ' ') || ' | up  |' || chr(10) || '| ' || repeat(' ', greatest(3, length(t), length('' || k))::INT) || ' | low |' END AS md FROM numbered),
+spaced AS (SELECT *, CASE WHEN lag(item) OVER (PARTITION BY r ORDER BY k) IS NULL THEN '' WHEN item AND lag(item) OVER (PARTITION BY r ORDER BY k) THEN chr(10) ELSE chr(10) || chr(10) END AS sep FROM made)
+SELECT 'region-' || r || '.docx' AS path, string_agg(sep || md, '' ORDER BY k) || coalesce(string_agg(chr(10) || chr(10) || '[^' || nth || ']: on ' || t || chr(10) || chr(10) || '    more', '' ORDER BY k) FILTER (kind = 6), '') || chr(10) AS text
+FROM spaced GROUP BY r
+"""
 
 
-@query("""
-SELECT n_name, c_mktsegment, count(*) AS parts, min(o_orderkey) AS first_part FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL
-""")
-def rels_join_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hop = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").alias("n_nationkey")), "c_custkey")
-    return hop.join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey").groupBy("n_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("parts"), F.min("o_orderkey").alias("first_part"))
+def _report(rows) -> bytes:
+    """A Word file with a heading by style name, a bold text, list items, links, a note, and a table of merged cells, by key."""
+    say = lambda *texts: [samples.paragraph(samples.words(t)) for t in texts]
+    body, related, noted = [], [("n", "numbering", "numbering.xml"), ("s", "styles", "styles.xml"), ("f", "footnotes", "footnotes.xml")], {}
+    for n in sorted(rows, key=lambda n: n["k"]):
+        key, text = n["k"], samples.words(n["n"])
+        kind = key % 8
+        if kind in (4, 5):
+            related.append((f"l{key}", "hyperlink", f"https://x.y/{key}" if kind == 4 else f"javascript:{key}", True))
+            body.append(samples.paragraph(samples.node("w:hyperlink", {"r:id": f"l{key}"}, text)))
+        elif kind == 6:
+            noted[key] = say("on " + n["n"], "more")
+            marks = [samples.node("w:r", None, samples.node("w:footnoteReference", {"w:id": i})) for i in (key, 900 + key)]  # the second leads nowhere
+            body.append(samples.paragraph(text, *marks))
+        elif kind == 7:
+            cell = samples.word_cell
+            body.append(samples.word_table([cell(*say(n["n"]), wide=2)], [cell(*say(str(key)), tall="restart"), cell(*say("up"))], [cell(tall="continue"), cell(*say("low"))], columns=2))
+        else:
+            body.append(samples.paragraph(samples.words(n["n"], *("b" * (kind == 1))), style="Second" if kind == 0 else None, item=(1, kind - 2) if kind in (2, 3) else None))
+    return samples.document(body, related, numbering__xml=samples.lists(("decimal", "bullet")), styles__xml=samples.styles({"Second": "heading 2"}), footnotes__xml=samples.notes("footnote", noted, separator=0))
+
+
+@query(_REPORT_SQL)
+def docx_report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Styles, numbering, links, notes and merged cells through the Word reader and out as Markdown."""
+    blocks = sources.read_blocks(_nations(spark, sf_dir, _report, "docx", "docx", whole=True))
+    return documents.markdown(sources.good(blocks))
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1")
@@ -283,11 +315,6 @@ def first_sheet_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.first_of_each(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), ["o_custkey"], ["o_orderkey"])
 
 
-@query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
-def distinct_parts_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
-
-
 @query("""
 WITH w AS (SELECT source, doc_id, max(len(string_split(text, chr(10)))) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) * row_number() OVER (PARTITION BY source ORDER BY doc_id) AS padded FROM documents)
 SELECT source, doc_id, padded, padded > 500 AS over FROM w
@@ -307,25 +334,20 @@ def byte_budget_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT p_partkey, p_brand, CASE WHEN p_size % 7 > 0 THEN p_size % 7 END AS r, CASE WHEN p_size % 5 > 0 THEN p_size % 5 END AS c FROM part)
-SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY r NULLS LAST, c NULLS LAST, p_partkey) AS place FROM a
+WITH a AS (SELECT p_brand, p_partkey, CASE WHEN p_size % 7 > 0 THEN p_size % 7 END AS r, CASE WHEN p_size % 5 > 0 THEN p_size % 5 END AS c FROM part)
+SELECT p_brand AS path, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY r NULLS LAST, c NULLS LAST, p_partkey) - 1 AS INT) AS seq, CAST(p_partkey AS VARCHAR) AS text, 'xl/media/picture.png' AS part FROM a
 """)
 def picture_order_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spot = lambda n: F.when(F.col("p_size") % n > 0, F.col("p_size") % n)
-    own = table(spark, sf_dir, "part").select("p_brand", "p_partkey", spot(7).alias("r"), spot(5).alias("c"))
-    place = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.asc_nulls_last("r"), F.asc_nulls_last("c"), "p_partkey"))
-    return own.select("p_brand", "p_partkey", place.alias("place"))
+    """The pictures of a workbook for each brand, drawn in order of their key, in reading order."""
 
+    @F.pandas_udf("binary")
+    def content(parts):
+        spot = lambda p, n: p["s"] % n or None
+        return parts.map(lambda own: samples.workbook({"All": []}, {"All": [(spot(p, 7), spot(p, 5), str(p["k"])) for p in sorted(own, key=lambda p: p["k"])]}, b"?"))
 
-@query("""
-WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role, text FROM conversations)
-SELECT conv_id, string_agg(CASE WHEN n > 1 THEN '---' || chr(10) || chr(10) ELSE '' END || '## Slide ' || n || ': ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY n) || chr(10) AS deck FROM t GROUP BY conv_id
-""")
-def deck_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    slide = F.concat(F.when(F.col("n") > 1, F.lit("---\n\n")).otherwise(F.lit("")), F.lit("## Slide "), F.col("n").cast("string"), F.lit(": "), "role", F.lit("\n\n"), "text")
-    own = table(spark, sf_dir, "conversations").withColumn("n", n).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", slide.alias("md")))).alias("slides"))
-    return own.select("conv_id", F.concat(F.array_join(F.transform("slides", lambda s: s["md"]), "\n\n"), F.lit("\n")).alias("deck"))
+    own = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("path")).agg(F.collect_list(F.struct(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))).alias("parts"))
+    files = own.select("path", F.lit("xlsx").alias("kind"), content("parts").alias("content"))
+    return sources.good(sources.read_pictures(files)).select("path", "seq", F.col("run.text").alias("text"), F.col("run.image_part").alias("part"))
 
 
 @query("""
@@ -337,11 +359,13 @@ def list_items_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, '[^' || (doc_id + 1) || ']: ' || regexp_replace(replace(text, chr(10), chr(10) || '    '), '\\n    (\\n|$)', chr(10) || '\\1', 'g') AS note FROM documents SEMI JOIN labels USING (doc_id) WHERE NOT contains(text, chr(10) || chr(10))
+WITH l AS (SELECT d.doc_id, string_split(text, chr(10)) AS lines FROM documents d SEMI JOIN labels USING (doc_id) UNION ALL SELECT -1, ['one', '', '', 'two', ' ', '', 'end', ''])
+SELECT doc_id, '[^' || (doc_id + 1) || ']: ' || lines[1] || array_to_string(list_transform(lines[2:], lambda x: chr(10) || CASE WHEN x = '' THEN '' ELSE '    ' || x END), '') AS note FROM l
 """)
 def footnote_render_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").filter(~F.col("text").contains("\n\n")).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    return own.select("doc_id", X.footnote(F.col("doc_id") + 1, F.col("text")).alias("note"))
+    own = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    more = spark.createDataFrame([(-1, "one\n\n\ntwo\n \n\nend\n")], "doc_id long, text string")
+    return own.unionByName(more).select("doc_id", X.footnote(F.col("doc_id") + 1, F.col("text")).alias("note"))
 
 
 @query("""
@@ -354,17 +378,6 @@ def header_budget_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("source", "doc_id", F.substring("text", F.lit(1), F.col("left").cast("int")).alias("shown"))
 
 
-@query("""
-WITH c AS (SELECT DISTINCT doc_id, unnest(string_split(text, '')) AS c FROM documents), m AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY ascii(c)) AS n FROM c WHERE ascii(c) > 127)
-SELECT doc_id, string_agg(c, '' ORDER BY n) FILTER (n <= 10) AS shown, count(*) - count(*) FILTER (n <= 10) AS more FROM m GROUP BY doc_id
-""")
-def missing_chars_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten of a document's characters that the standard fonts lack, and how many more there are."""
-    chars = F.array_distinct(F.split(F.regexp_replace("text", r"[\x{0}-\x{7F}]", ""), ""))
-    own = table(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.filter(chars, lambda c: c != "")).alias("c")).filter(F.size("c") > 0)
-    return own.select("doc_id", F.array_join(F.slice("c", 1, 10), "").alias("shown"), F.greatest(F.size("c") - 10, F.lit(0)).cast("long").alias("more"))
-
-
 @query("""
 WITH i AS (SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN ' page ' WHEN 1 THEN 'NUMPAGES \\* MERGEFORMAT' WHEN 2 THEN 'SectionPages' WHEN 3 THEN 'PAGEREF x' ELSE n_name END AS instruction FROM nation)
 SELECT n_nationkey, CASE upper(string_split(trim(instruction), ' ')[1]) WHEN 'PAGE' THEN 'page_number' WHEN 'NUMPAGES' THEN 'page_count' WHEN 'SECTIONPAGES' THEN 'page_count' END AS field FROM i
@@ -375,36 +388,81 @@ def page_fields_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", X.page_field(instruction).alias("field"))
 
 
-@query("SELECT doc_id, list_max(list_transform(string_split_regex(text, '\\s+'), lambda w: length(w))) AS longest FROM documents")
-def longest_word_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_max(F.transform(F.split("text", r"\s+"), F.char_length)).cast("long").alias("longest"))
-
-
 @query("""
-WITH w AS (SELECT o_orderpriority, max(length(o_orderstatus)) AS a, max(length(CAST(o_orderkey AS VARCHAR))) AS b, max(length(CAST(o_custkey AS VARCHAR))) AS c FROM orders GROUP BY 1)
-SELECT o_orderpriority, greatest(3, a) AS status_width, greatest(3, b) AS key_width, greatest(3, c) AS customer_width, round(least(greatest(3, a) * 451.28 / (greatest(3, a) + greatest(3, b) + greatest(3, c)), 451.28), 6) AS status_points FROM w
+SELECT o_orderpriority AS path, 3 AS width, [greatest(3, max(length(o_orderstatus))), greatest(3, max(length(CAST(o_orderkey AS VARCHAR)))), greatest(3, max(length(CAST(o_custkey AS VARCHAR))))] AS widths FROM orders GROUP BY 1
 """)
 def column_widths_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = lambda c: F.greatest(F.lit(3), F.max(F.char_length(F.col(c).cast("string")))).cast("long")
-    own = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(wide("o_orderstatus").alias("status_width"), wide("o_orderkey").alias("key_width"), wide("o_custkey").alias("customer_width"))
-    whole = F.col("status_width") + F.col("key_width") + F.col("customer_width")
-    return own.withColumn("status_points", F.round(F.least(F.col("status_width") * 451.28 / whole, F.lit(451.28)), 6))
+    """Each priority's orders as a table: the number of its columns and the longest text of each."""
+    cells = F.array(*[tables.cell(F.col(c).cast("string"), T.StringType()) for c in ("o_orderstatus", "o_orderkey", "o_custkey")])
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("path"), F.lit(0).alias("sheet_no"), cells.alias("cells"))
+    return tables.widths(rows).select("path", "width", F.transform("widths", lambda w: w.cast("long")).alias("widths"))
+
 
 
+_KINDS = ("xlsx", "docx", "pptx", "csv", "tsv", None)
+
 
 @query("""
-SELECT k AS kind, t AS target, CASE WHEN k IN ('docx', 'pptx') THEN t IN ('markdown', 'pdf') ELSE t <> 'pdf' END AS allowed FROM (VALUES ('xlsx'), ('docx'), ('pptx'), ('csv'), ('tsv')) a(k), (VALUES ('csv'), ('tsv'), ('json'), ('markdown'), ('pdf')) b(t)
+WITH f AS (SELECT n_name AS path, ['xlsx', 'docx', 'pptx', 'csv', 'tsv', NULL][n_nationkey % 6 + 1] AS kind FROM nation), t AS (SELECT unnest(['csv', 'tsv', 'json', 'markdown', 'pdf']) AS target)
+SELECT path, target, CASE WHEN kind IS NULL THEN 65 ELSE 64 END AS code, CASE WHEN kind IS NULL THEN 'data' ELSE 'usage' END AS class FROM f, t
+WHERE kind IS NULL OR (kind IN ('docx', 'pptx') AND target NOT IN ('markdown', 'pdf')) OR (kind NOT IN ('docx', 'pptx') AND target = 'pdf')
 """)
 def plan_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(matrix_rows(), "kind string, target string, allowed boolean")
+    """Which of a folder's files, of kinds dealt by key, each output refuses."""
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("n_nationkey") % 6 + 1).cast("int"))
+    files = table(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), kind.alias("kind"), F.lit(b"").alias("content"))
+    each = [sources.refused(files, Options(to, output="x")).select("path", F.lit(to).alias("target"), "code", "class") for to in OUTPUTS]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query("""
+SELECT n_name AS path, 0 AS sheet_no, '[' || chr(10) || '  {' || chr(10) || '    "n": ' || n_nationkey || chr(10) || '  }' || chr(10) || ']' || chr(10) AS text FROM nation UNION ALL SELECT n_name, 1, '[]' || chr(10) FROM nation
+""")
+def empty_sheets_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks with a sheet without rows, as JSON: every sheet has an output."""
+
+    @F.pandas_udf("binary")
+    def content(keys):
+        return keys.map(lambda k: samples.workbook({"Full": [["n"], [int(k)]], "Void": []}))
+
+    files = table(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), F.lit("xlsx").alias("kind"), content("n_nationkey").alias("content"))
+    return table_text(sources.good(sources.read_tables(files)), "json", typed=True)
+
+
+@query(f"""
+SELECT 'nation-' || c_nationkey AS path, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row_no, CAST(c_custkey AS VARCHAR) || ',' || {_NUMBER} || ',' || CASE WHEN c_custkey % 3 = 0 THEN 'true' ELSE 'false' END || ',' ||
+  CASE WHEN c_custkey % 4 = 0 THEN strftime(TIMESTAMP '1899-12-30' + to_days(CAST(36526 + c_custkey % 9000 AS INT)) + to_hours(CAST(6 * (c_custkey % 4) AS INT)), '%Y-%m-%d') ELSE strftime(TIMESTAMP '1899-12-30' + to_days(CAST(36526 + c_custkey % 9000 AS INT)) + to_hours(CAST(6 * (c_custkey % 4) AS INT)), '%Y-%m-%dT%H:%M:%S') END || ',' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS line
+FROM customer
+""")
+def xlsx_typed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, truth values, dates by their format, missing and ragged cells through the workbook reader."""
+
+    @F.pandas_udf("binary")
+    def content(rows):
+        def cells(c):
+            day = 36526 + c["k"] % 9000 + c["k"] % 4 / 4
+            return [str(c["k"]), float(c["b"]), c["k"] % 3 == 0, (day, 1), *([c["m"]] if c["k"] % 5 else [])]
+
+        return rows.map(lambda own: samples.workbook({"All": [["key", "balance", "third", "day", "segment"], *map(cells, sorted(own, key=lambda c: c["k"]))]}))
+
+    own = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list(F.struct(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("b"), F.col("c_mktsegment").alias("m"))).alias("rows"))
+    files = own.select(F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("path"), F.lit("xlsx").alias("kind"), content("rows").alias("content"))
+    return tables.delimited_rows(sources.good(sources.read_tables(files)), ",").filter("row_no > 0").select("path", "row_no", "line")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS text FROM (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) * CAST(8192.5 AS DOUBLE) AS v FROM customer)
+""")
+def json_numbers_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", json_number(F.col("c_acctbal") * F.lit(8192.5)).alias("text"))
 
 
-def _nations(spark: SparkSession, sf_dir: str, write, kind: str, name: str) -> DataFrame:
-    """A file for each region, written from its nations, as the readers take files."""
+def _nations(spark: SparkSession, sf_dir: str, write, kind: str, name: str, whole: bool = False) -> DataFrame:
+    """A file for each region, written from its nations (whole: as they are, else as rows of texts), as the readers take files."""
 
     @F.pandas_udf("binary")
     def content(rows):
-        return rows.map(lambda region: write([["key", "name"], *([str(n["k"]), n["n"]] for n in sorted(region, key=lambda n: n["k"]))]))
+        return rows.map(write) if whole else rows.map(lambda region: write([["key", "name"], *([str(n["k"]), n["n"]] for n in sorted(region, key=lambda n: n["k"]))]))
 
     own = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n"))).alias("rows"))
     files = own.select(F.concat(F.lit("region-"), F.col("n_regionkey").cast("string"), F.lit("." + name)).alias("path"), F.lit(kind).alias("kind"), content("rows").alias("content"))
@@ -428,7 +486,7 @@ def _table_roundtrip(spark: SparkSession, sf_dir: str, write, name: str) -> Data
 
 @query(_REGION_ROWS + "SELECT 'region-' || n_regionkey || '.xlsx' AS path, row_no, a || ',' || b AS line FROM every")
 def xlsx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table_roundtrip(spark, sf_dir, samples.workbook, "xlsx")
+    return _table_roundtrip(spark, sf_dir, lambda rows: samples.workbook({"Sheet1": rows}), "xlsx")
 
 
 @query(_REGION_ROWS + "SELECT 'region-' || n_regionkey || '.csv' AS path, row_no, a || ',' || b AS line FROM every")
@@ -440,7 +498,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'region-' || n_regionkey || '.docx' AS path, '# key name' || chr(10) || chr(10) || string_agg('**' || a || '** ' || replace(b, '_', '\\_'), chr(10) || chr(10) ORDER BY row_no) FILTER (row_no > 0) || chr(10) AS text FROM every GROUP BY n_regionkey
 """)
 def docx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = sources.read_blocks(_nations(spark, sf_dir, samples.document, "docx", "docx"))
+    blocks = sources.read_blocks(_nations(spark, sf_dir, samples.headed, "docx", "docx"))
     return documents.markdown(sources.good(blocks))
 
 

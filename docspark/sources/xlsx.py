@@ -7,8 +7,9 @@ import math
 import re
 
 from docspark.plans.plan import ConvertError
-from docspark.sources.drawing import PictureReader
+from docspark.sources.drawing import ShapePictures
 from docspark.sources.opc import Archive, Handler, parts_of, resolve_target, targets
+from docspark.sources.text import value_text
 
 #: Built-in number formats that are dates or times; of these the ones that are spans of time.
 DATE_FORMATS = {*range(14, 23), *range(27, 37), 45, 46, 47, *range(50, 59)}
@@ -44,6 +45,12 @@ class _Strings(Handler):
             self.found[-1] += data
 
 
+def _format_id(attrs: dict) -> int:
+    """The number of a format; what is no number is the general format."""
+    value = attrs.get("numFmtId", "0")
+    return int(value) if value.isascii() and value.isdigit() else 0
+
+
 class _Styles(Handler):
     def __init__(self) -> None:
         self.codes: dict[int, str] = {}
@@ -51,9 +58,9 @@ class _Styles(Handler):
 
     def start(self, name, attrs, full, above):
         if name == "numFmt":
-            self.codes[int(attrs.get("numFmtId", 0))] = attrs.get("formatCode", "")
+            self.codes[_format_id(attrs)] = attrs.get("formatCode", "")
         elif name == "xf" and above.parent == "cellXfs":
-            self.cells.append(int(attrs.get("numFmtId", 0)))
+            self.cells.append(_format_id(attrs))
 
     def kind(self, style: int) -> str:
         number = self.cells[style] if 0 <= style < len(self.cells) else 0
@@ -77,19 +84,27 @@ def column_number(reference: str) -> int:
 
 
 def serial_text(serial: float, kind: str, since_1904: bool = False) -> str:
-    """A serial day number as text; what no calendar holds stays a number."""
-    seconds = int(math.floor(serial * 86400 + 1e-6))
+    """A serial day number as text: a span of hours to the nearest second, else date and time as far as it has them.
+
+    A number below 1 is a time alone, a whole one a date alone. What no calendar holds stays a number.
+    """
+    if not math.isfinite(serial):
+        return value_text("float", serial)
     if kind == "span":
-        return f"{seconds // 3600}:{seconds // 60 % 60:02d}:{seconds % 60:02d}"
-    clock = f"{seconds // 3600 % 24:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}"
-    if 0 <= serial < 1 and not since_1904:
+        seconds = int(abs(serial) * 86400 + 0.5) * (-1 if serial < 0 else 1)
+        hours, rest = divmod(abs(seconds), 3600)
+        return f"{'-' if seconds < 0 else ''}{hours}:{rest // 60:02d}:{rest % 60:02d}"
+    days, thousandths = divmod(round(serial * 86_400_000), 86_400_000)
+    hours, rest = divmod(thousandths // 1000, 3600)
+    clock = f"{hours:02d}:{rest // 60:02d}:{rest % 60:02d}"
+    if serial < 1:
         return clock
-    day = datetime.date(1904, 1, 1) if since_1904 else datetime.date(1899, 12, 31 if serial < 60 else 30)
     try:
-        day += datetime.timedelta(days=seconds // 86400)
+        day = datetime.date(1904, 1, 1) if since_1904 else datetime.date(1899, 12, 31 if serial < 60 else 30)
+        day += datetime.timedelta(days=days)
     except OverflowError:
-        return repr(serial)
-    return day.isoformat() if seconds % 86400 == 0 else f"{day.isoformat()}T{clock}"
+        return value_text("float", serial)
+    return day.isoformat() if serial == int(serial) else f"{day.isoformat()}T{clock}"
 
 
 class _Sheet(Handler):
@@ -104,12 +119,12 @@ class _Sheet(Handler):
 
     def start(self, name, attrs, full, above):
         if name == "row":
-            self.row = int(attrs["r"]) - 1 if attrs.get("r", "").isdigit() else self.row + 1
+            self.row = int(attrs["r"]) - 1 if attrs.get("r", "").isascii() and attrs.get("r", "").isdigit() else self.row + 1
             self.col = -1
         elif name == "c":
             self.col = column_number(attrs["r"]) if attrs.get("r") else self.col + 1
             self.kind, self.value = attrs.get("t", "n"), ""
-            self.style = int(attrs.get("s", 0)) if attrs.get("s", "0").isdigit() else 0
+            self.style = int(attrs.get("s", 0)) if attrs.get("s", "0").isascii() and attrs.get("s", "0").isdigit() else 0
 
     def text(self, data, above):
         if above.parent == "v" or above.parent == "t" and above.within("is"):
@@ -119,7 +134,7 @@ class _Sheet(Handler):
         if name != "c" or self.value == "" and self.kind != "inlineStr":
             return
         if self.kind == "s":
-            place = int(self.value) if self.value.strip().isdigit() else -1
+            place = int(self.value) if self.value.strip().isascii() and self.value.strip().isdigit() else -1
             cell = ("text", self.strings[place] if 0 <= place < len(self.strings) else "")
         elif self.kind == "b":
             cell = ("bool", self.value.strip() in ("1", "true"))
@@ -153,15 +168,14 @@ class _Drawing(Handler):
     """Pictures of a sheet with the row and column of their upper left corner."""
 
     def __init__(self, to):
-        self.pictures = PictureReader(to, word=False)
+        self.pictures = ShapePictures(to)
         self.anchor: dict[str, int] = {}
         self.found: list[tuple[float, float, dict]] = []
 
     def start(self, name, attrs, full, above):
         if name.endswith("Anchor"):
             self.anchor = {}
-        if picture := self.pictures.start(name, attrs, full, above):
-            self._add(picture)
+        self.pictures.start(name, attrs, above)
 
     def text(self, data, above):
         if above.parent in ("row", "col") and above.within("from") and data.strip().isdigit():
@@ -169,10 +183,7 @@ class _Drawing(Handler):
 
     def end(self, name, above):
         if picture := self.pictures.end(name):
-            self._add(picture)
-
-    def _add(self, picture):
-        self.found.append((self.anchor.get("row", math.inf), self.anchor.get("col", math.inf), picture))
+            self.found.append((self.anchor.get("row", math.inf), self.anchor.get("col", math.inf), picture))
 
 
 def read_workbook(content: bytes, sheet: str | None = None, pictures: bool = False, **limits: int) -> list[dict]:

@@ -3,26 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from docspark.functions.text import extension
-from docspark.sources.files import read_blocks, read_tables
+from docspark.plans.plan import Options
+from docspark.sources.files import errors, good, read_blocks, read_tables, refused, with_kind
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def stream_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Files with their kind by extension. A file that comes again within a day with the same content counts once."""
+    """New files (path, length, content); the source's checkpoint remembers which were read, however late they come."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_per_batch).load(folder)
-    once = files.withColumn("sha2", F.sha2("content", 256)).withWatermark("modificationTime", "1 day").dropDuplicatesWithinWatermark(["sha2"])
-    return once.withColumn("kind", extension(F.col("path"))).select("path", "length", "content", "kind")
+    return files.select("path", "length", "content")
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str):
-    """Append tables, blocks and errors of new files to Parquet folders under ``out``; returns the running query."""
+    """Tables, blocks and errors of new files as Parquet folders under ``out``; returns the running query.
+
+    A batch writes folders of its own number, so one that is tried again replaces what it wrote before. Each file gives
+    rows of its table or blocks, or a row of errors. Files with the same contents under two names are two files.
+    """
 
     def write(files: DataFrame, batch: int) -> None:
-        for name, parsed in (("tables", read_tables(files)), ("blocks", read_blocks(files))):
-            parsed.write.mode("append").parquet(f"{out}/{name}")
+        known = with_kind(files)
+        tables, blocks = read_tables(known), read_blocks(known)
+        failed = errors(tables).unionByName(errors(blocks)).unionByName(refused(known, Options("markdown")))
+        for name, rows in (("tables", good(tables)), ("blocks", good(blocks)), ("errors", failed)):
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch}")
 
     return stream_files(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

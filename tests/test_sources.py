@@ -1,12 +1,14 @@
 import io
+import math
+import os
 import re
-import zipfile
+import sys
 
 import pytest
 from files import deck, document, package, png, workbook
 
 from docspark.convert import convert, export_images, main, output_names
-from docspark.operators import documents, pdf, sinks
+from docspark.operators import pdf, sinks
 from docspark.plans.plan import ConvertError, Options, plan
 from docspark.sources import delimited, docx, files, opc, pptx, xlsx
 
@@ -14,7 +16,7 @@ from docspark.sources import delimited, docx, files, opc, pptx, xlsx
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     at = tmp_path_factory.mktemp("in")
-    made = {"a.xlsx": workbook(), "b.docx": document(), "c.pptx": deck(), "d.csv": b'\xef\xbb\xbfx,x,\n1,"two\nlines",3,4\n', "e.csv": b'a\n"open\n', "noname": workbook(), "f.docx": b"not a zip"}
+    made = {"a.xlsx": workbook(), "b.docx": document(), "c.pptx": deck(), "d.csv": b'\xef\xbb\xbfx,x,\n1,"two\nlines",3,4\n', "e.csv": b'a\n"open\n', "noname": workbook(), "f.docx": b"not a zip", "g.bin": b"?"}
     for name, data in made.items():
         (at / name).write_bytes(data)
     return str(at)
@@ -38,13 +40,14 @@ def test_delimited():
 
 def test_workbook():
     one, two = xlsx.read_workbook(workbook())
-    assert (one["sheet"], two["sheet"], two["rows"]) == ("One", "Two", [])
-    assert [v for _, v in one["rows"][0]] == ["Region", "Units|x", "When", None]
+    assert (one["sheet"], two["sheet"], two["rows"]) == ("Lakes", "Empty", [])
+    assert [v for _, v in one["rows"][0]] == ["Name", "Depth|m", "When", None]
     assert one["rows"][1][:3] == [("text", "a*b"), ("float", 3.0), ("text", "2024-01-01")]
     assert one["rows"][2] == [("empty", None)] * 4
     assert one["rows"][3] == [("bool", True), ("float", 2.5), ("text", "2024-01-01T12:00:00"), ("text", "#DIV/0!")]
-    assert [xlsx.serial_text(x, k) for x, k in ((1.5, "span"), (0.25, "date"), (60.0, "date"), (1.0, "date"))] == ["36:00:00", "06:00:00", "1900-02-28", "1900-01-01"]
-    with pytest.raises(ConvertError, match="no sheet 'x'; there are One, Two"):
+    assert [xlsx.serial_text(x, k) for x, k in ((1.5, "span"), (0.25, "date"), (60.0, "date"), (1.0, "date"), (1.6 / 86400, "span"), (45292.9999999999, "date"), (math.inf, "date"), (1e300, "date"), (0.0, "date"))] == ["36:00:00", "06:00:00", "1900-02-28", "1900-01-01", "0:00:02", "2024-01-02T00:00:00", "inf", f"1{300 * '0'}", "00:00:00"]
+    assert xlsx.serial_text(0.5, "date", since_1904=True) == "12:00:00" and xlsx.serial_text(1.0, "date", since_1904=True) == "1904-01-02"
+    with pytest.raises(ConvertError, match="no sheet 'x'; there are Lakes, Empty"):
         xlsx.read_workbook(workbook(), sheet="x")
 
 
@@ -82,23 +85,26 @@ def test_deck_blocks():
 
 def test_markdown(spark, folder):
     results, failed = convert(spark, folder, Options("md", images="img"))
-    assert {r.path.rpartition("/")[2]: r.code for r in failed.collect()} == {"e.csv": 65, "f.docx": 65}
+    assert {r.path.rpartition("/")[2]: r.code for r in failed.collect()} == {"d.csv": 64, "e.csv": 64, "f.docx": 65, "g.bin": 65}
+    assert {r.path for r in results.collect()} | {r.path for r in failed.collect()} == {f"file:{folder}/{n}" for n in os.listdir(folder)}
     assert texts(results, "b.docx")[None] == (
         "# Top\n\n## Sub\n\n**bold** plain more [link](https://x.y/a%20b) bad[^1]\n\n1. one  \n   two\n    - deep\n\n"
         "| wide |        |\n| ---- | ------ |\n| tall | x<br>y |\n|      | z      |\n\n![a cat](img/cat.png)\n\n[^1]: first\n\n    second\n"
     )
     assert texts(results, "c.pptx")[None] == "## Slide 1: Hello\n\n- **point**\n    1. n\n\nfree\n\n### Notes\n\nsay this\n\n---\n\n## Slide 2 (hidden): Bye\n\n- **last**\n    1. n\n\nfree\n"
-    assert texts(results, "a.xlsx")["One"].splitlines()[:3] == ["| Region | Units\\|x | When                |         |", "| ------ | -------- | ------------------- | ------- |", "| a\\*b   | 3        | 2024-01-01          |         |"]
-    assert texts(results, "a.xlsx")["One"].endswith(" |\n\n![high](img/p.png)\n\n![low](img/p.png)\n")
+    assert texts(results, "a.xlsx")["Lakes"].splitlines()[:3] == ["| Name | Depth\\|m | When                |         |", "| ---- | -------- | ------------------- | ------- |", "| a\\*b | 3        | 2024-01-01          |         |"]
+    assert texts(results, "a.xlsx")["Lakes"].endswith(" |\n\n![high](img/p.png)\n\n![low](img/p.png)\n")
     assert texts(results, "noname") == texts(results, "a.xlsx")
 
 
 def test_delimited_and_json(spark, folder):
     results, _ = convert(spark, folder + "/a.xlsx", Options("csv", all_sheets=True))
-    assert texts(results, "a.xlsx")["One"] == "Region,Units|x,When,\na*b,3,2024-01-01,\n,,,\ntrue,2.5,2024-01-01T12:00:00,#DIV/0!\n"
-    assert {r["name"] for r in output_names(results, "csv", True).collect()} == {"a-One.csv"}
+    assert texts(results, "a.xlsx")["Lakes"] == "Name,Depth|m,When,\na*b,3,2024-01-01,\n,,,\ntrue,2.5,2024-01-01T12:00:00,#DIV/0!\n"
+    assert {r["name"] for r in output_names(results, "csv", True).collect()} == {"a-Lakes.csv", "a-Empty.csv"} and texts(results, "a.xlsx")["Empty"] == ""
+    assert texts(convert(spark, folder + "/a.xlsx", Options("json", all_sheets=True))[0], "a.xlsx")["Empty"] == "[]\n"
+    assert texts(convert(spark, folder + "/a.xlsx", Options("md", all_sheets=True))[0], "a.xlsx")["Empty"] == ""
     results, _ = convert(spark, folder + "/a.xlsx", Options("json", typed=True))
-    assert texts(results, "a.xlsx")["One"].startswith('[\n  {\n    "Region": "a*b",\n    "Units|x": 3,\n    "When": "2024-01-01",\n    "column_4": null\n  },')
+    assert texts(results, "a.xlsx")["Lakes"].startswith('[\n  {\n    "Name": "a*b",\n    "Depth|m": 3,\n    "When": "2024-01-01",\n    "column_4": null\n  },')
     results, _ = convert(spark, folder + "/d.csv", Options("json"))
     assert texts(results, "d.csv")[None] == '[\n  {\n    "x": "1",\n    "x_2": "two\\nlines",\n    "column_3": "3",\n    "column_4": "4"\n  }\n]\n'
 
@@ -112,10 +118,9 @@ def test_images_and_relationships(spark, folder):
 
 
 def test_images_are_written(spark, tmp_path, capsys):
-    parts = {n: zipfile.ZipFile(io.BytesIO(document())).read(n) for n in zipfile.ZipFile(io.BytesIO(document())).namelist()}
     (tmp_path / "in").mkdir()
     for name, data in (("a", png()), ("b", png() + b"!"), ("c", png()), ("d", b"<svg/>")):
-        (tmp_path / f"in/{name}.docx").write_bytes(package(parts | {"word/media/cat.jpg": data}))
+        (tmp_path / f"in/{name}.docx").write_bytes(document(data))
     (tmp_path / "in/e.xlsx").write_bytes(workbook())
     options = Options("md", images="img")
     counts = export_images(spark, str(tmp_path / "in"), options, str(tmp_path / "img"))
@@ -133,6 +138,7 @@ def test_images_are_written(spark, tmp_path, capsys):
 
 def test_pdf(spark, folder):
     results, failed = convert(spark, folder, Options("pdf", output="x"))
+    assert {r.path.rpartition("/")[2]: r.code for r in failed.collect()} == {"a.xlsx": 64, "d.csv": 64, "e.csv": 64, "noname": 64, "f.docx": 65, "g.bin": 65}
     made = {r.path.rpartition("/")[2]: bytes(r.text) for r in results.collect()}
     assert set(made) == {"b.docx", "c.pptx"} and all(x.startswith(b"%PDF-1.7") and x.endswith(b"%%EOF\n") for x in made.values())
     assert made["c.pptx"].count(b"/Type /Page ") == 2 and b"https://x.y/a b" in made["b.docx"]
@@ -156,12 +162,86 @@ def test_plan_and_command(folder, tmp_path, capsys):
 def test_streaming(spark, folder, tmp_path):
     from docspark.streaming.ingest import ingest
 
-    ingest(spark, folder, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out/tables")).filter("error IS NULL AND row_no = 0").count() == 2
-    assert spark.read.parquet(str(tmp_path / "out/blocks")).select("path").distinct().count() == 3
-
-
-def test_separators(spark):
-    rows = [("p", i, k) for i, k in enumerate(["heading", "list_item", "list_item", "paragraph"])]
-    got = documents.separators(spark.createDataFrame(rows, "path string, seq int, kind string")).orderBy("seq").collect()
-    assert [r.separator for r in got] == ["", "\n\n", "\n", "\n\n"]
+    for _ in range(2):  # the second finds nothing new
+        ingest(spark, folder, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    read = lambda name: {r.path.rpartition("/")[2] for r in spark.read.parquet(str(tmp_path / "out" / name)).collect()}
+    assert read("tables") == {"a.xlsx", "d.csv", "noname"} and read("blocks") == {"b.docx", "c.pptx"} and read("errors") == {"e.csv", "f.docx", "g.bin"}
+    rows = spark.read.parquet(str(tmp_path / "out/tables"))
+    assert rows.filter("row_no = 0").count() == 5 == rows.select("path", "sheet_no").distinct().count()
+
+
+def test_malformed_files_are_errors(spark, tmp_path):
+    (tmp_path / "good.csv").write_bytes(b"a,b\n1,2\n")
+    (tmp_path / "odd.xlsx").write_bytes(workbook(number_format="x"))
+    (tmp_path / "half.xlsx").write_bytes(workbook()[:-40])
+    (tmp_path / "named.xlsx").write_bytes(package({"xl/workbook.xml": b"<workbook><sheets><sheet name='a'/></sheets", "xl/_rels/workbook.xml.rels": b"?"}))
+    (tmp_path / "void.csv").write_bytes(b"")
+    results, failed = convert(spark, str(tmp_path), Options("csv"))
+    done, bad = ({r.path.rpartition("/")[2] for r in x.collect()} for x in (results, failed))
+    assert done == {"good.csv", "odd.xlsx", "void.csv"} and bad == {"half.xlsx", "named.xlsx"}
+    broken = files._parsed(files.with_kind(files.scan(spark, str(tmp_path))).filter("kind = 'csv'"), lambda *_: iter([{}["x"]]), "path string")
+    assert {(e["class"], e.message) for e in files.errors(broken).collect()} == {("data", "malformed: KeyError: 'x'")}
+
+
+def test_stdin_and_sheets_to_the_current_folder(spark, folder, tmp_path, monkeypatch, capfdbinary):
+    class Piped:
+        def __init__(self, data):
+            self.buffer = io.BytesIO(data)
+
+        def isatty(self):
+            return False
+
+    def run(data, *args):
+        monkeypatch.setattr(sys, "stdin", Piped(data))
+        code = main(["-", *args])
+        return code, capfdbinary.readouterr().out
+
+    monkeypatch.chdir(tmp_path)
+    assert run(b"x,y\n1,2\n", "--from", "csv", "--to", "json") == (0, b'[\n  {\n    "x": "1",\n    "y": "2"\n  }\n]\n')
+    assert run(workbook(), "--to", "csv", "--all-sheets")[0] == 0
+    assert {p.name for p in tmp_path.iterdir()} == {"stdin-Lakes.csv", "stdin-Empty.csv"} and (tmp_path / "stdin-Empty.csv").read_bytes() == b""
+    assert run(b"", "--to", "csv")[0] == 65 and run(b"x,y\n", "--to", "csv")[0] == 65
+    monkeypatch.setattr(sys.stdin, "isatty", lambda: True, raising=False)
+    assert main(["-", "--to", "csv"]) == 64
+
+
+def test_safe_image_names(spark):
+    rows = [("p", "word/media/a:b?.png", "png", "1"), ("p", "word/other/a_b_.png", "png", "2"), ("q", "x/../..", "gif", "3")]
+    named = sinks.name_images(spark.createDataFrame(rows, "path string, part string, format string, sha2 string"), "img").collect()
+    assert {r.part: r.name for r in named} == {"word/media/a:b?.png": "a_b_.png", "word/other/a_b_.png": "a_b_-2.png", "x/../..": "sheet.gif"}
+
+
+def slow_spans(grid):
+    """Which cells a cell covers, by trying every rectangle: the widest first row, then the tallest."""
+    own, owner = {}, {}
+    for (r, c), cell in grid.places.items():
+        if cell["left"] or cell["up"]:
+            continue
+        w = 1
+        while w < cell["cols"] and (x := grid.places.get((r, c + w))) and x["left"] and not x["up"] and (r, c + w) not in owner:
+            w += 1
+        h = 1
+        while h < cell["rows"]:
+            below = [grid.places.get((r + h, c + k)) for k in range(w)]
+            if any(x is None or not (x["left"] or x["up"]) or (r + h, c + k) in owner for k, x in enumerate(below)) or not below[0]["up"]:
+                break
+            h += 1
+        own[r, c] = (w, h)
+        owner |= {(r + i, c + k): (r, c) for i in range(h) for k in range(w) if i or k}
+    return own
+
+
+def test_spans_against_slow_ones():
+    import random
+
+    from docspark.sources.blocks import Grid
+
+    r = random.Random(1)
+    for _ in range(400):
+        grid = Grid(listed=True)
+        for _ in range(r.randint(1, 5)):
+            for _ in range(r.randint(1, 5)):
+                grid.cell |= {"cols": r.randint(1, 3), "rows": r.randint(1, 3), "left": r.random() < 0.4, "up": r.random() < 0.4}
+                grid.next_cell()
+            grid.next_row()
+        assert grid.spans() == slow_spans(grid)
