@@ -52,7 +52,8 @@ def convert(spark: SparkSession, paths: str | list[str], options: Options) -> tu
     """(results, errors): rendered files (path, sheet_no, sheet, text) and a row for each input that failed.
 
     Each file is planned by its own kind: one that does not fit the options is refused, and every input is either among
-    the results or among the errors.
+    the results or among the errors. Rows of PDF also say which characters the fonts lack, the first ten of them and how
+    many more, and how many images are left out.
     """
     check_options(options)
     to = output_format(options.to)
@@ -60,9 +61,10 @@ def convert(spark: SparkSession, paths: str | list[str], options: Options) -> tu
     files, refused = sources.accepted(found, options), sources.refused(found, options)
     if to == "pdf":
         docs, decks = (sources.read_blocks(files.filter(F.col("kind") == k), not options.no_notes) for k in ("docx", "pptx"))
-        rendered = pdf.pdf(sources.good(docs)).unionByName(pdf.pdf(sources.good(decks), slides=True))
+        images = sources.good(sources.read_images(files))
+        rendered = pdf.pdf(sources.good(docs), images=images).unionByName(pdf.pdf(sources.good(decks), slides=True, images=images))
         failed = sources.errors(docs).unionByName(sources.errors(decks))
-        return rendered.select("path", F.lit(0).alias("sheet_no"), F.lit(None).cast("string").alias("sheet"), "text"), failed.unionByName(refused)
+        return rendered.select("path", F.lit(0).alias("sheet_no"), F.lit(None).cast("string").alias("sheet"), "text", "missing", "more", "skipped"), failed.unionByName(refused)
     parsed = sources.read_tables(files, options.sheet)
     rows = sources.good(parsed)
     if not options.all_sheets and options.sheet is None:
@@ -203,6 +205,10 @@ def main(argv: list[str] | None = None) -> int:
             with open(a.output, "wb") if a.output else nullcontext(sys.stdout.buffer) as out:
                 for row in results.orderBy("sheet_no").toLocalIterator():
                     out.write(bytes(row["text"]) if to == "pdf" else row["text"].encode())
+                    if to == "pdf" and row["missing"]:
+                        print(f"warning: no glyphs for {' '.join(row['missing'])}" + (f" and {row['more']} more" if row["more"] else ""), file=sys.stderr)
+                    if to == "pdf" and row["skipped"]:
+                        print(f"warning: left out {row['skipped']} images", file=sys.stderr)
     except ConvertError as bad:
         print(f"docspark: {bad.message}", file=sys.stderr)
         return bad.code

@@ -1,17 +1,20 @@
 """Blocks as PDF with the standard fonts: text in order, lists, tables, links, repeated headers and footers.
 
-Layout is bounded: the standard Latin fonts only, no images inside, no reordering of right-to-left text. Characters
-outside the fonts are shown as question marks and reported.
+Layout is bounded: the standard Latin fonts only, no reordering of right-to-left text. Characters outside the fonts are
+shown as question marks and reported. Images that cannot be taken as they are show their text.
 """
 
 from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from docspark.operators.pdf_images import Picture, column_widths, read_picture, shown_size, widened
+
 #: Widths of the standard sans font for code points 32 to 126, in thousandths of the size.
 WIDTHS = [
     278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 278, 278, 584, 584, 584, 556,
@@ -43,13 +46,15 @@ def text_width(text: str, size: float, bold: bool = False) -> float:
 class Page:
     items: list[str] = field(default_factory=list)
     links: list[tuple[float, float, float, float, str]] = field(default_factory=list)
+    images: set[str] = field(default_factory=set)
 
 
 class Layout:
     """Places blocks from top to bottom and starts a page where one is full."""
 
-    def __init__(self, setup: Setup):
+    def __init__(self, setup: Setup, images: dict[str, Picture | None] | None = None):
         self.setup, self.pages, self.missing = setup, [Page()], set()
+        self.images, self.skipped = images or {}, set()
         self.y = setup.height - setup.margin
         self.counters: list[int] = []
 
@@ -103,6 +108,35 @@ class Layout:
         return [*out, line]
 
     def runs(self, runs: list[dict], size: float, indent: float = 0, align: str = "left", marker: str = "") -> None:
+        """Text in lines, and each image that can be shown on its own between them."""
+        for shown, group in groupby(runs, lambda r: r["kind"] == "image" and self._shows(r.get("image_part"))):
+            if shown:
+                for r in group:
+                    self._image(r, indent, align)
+            else:
+                self._text(list(group), size, indent, align, marker)
+                marker = ""
+
+    def _shows(self, part: str | None) -> bool:
+        if part in self.images and self.images[part] is None:
+            self.skipped.add(part)
+        return self.images.get(part) is not None
+
+    def _image(self, r: dict, indent: float, align: str) -> None:
+        room = self.setup.width - 2 * self.setup.margin - indent
+        size = (r["cx"], r["cy"]) if r.get("cx") and r.get("cy") else None
+        width, height = shown_size(self.images[r["image_part"]], size, room, self.setup.height - 2 * self.setup.margin - 1)
+        self._room(height)
+        self.y -= height
+        x = self.setup.margin + indent + {"right": room - width, "center": (room - width) / 2}.get(align, 0)
+        page = self.pages[-1]
+        page.items.append(f"q {width:.2f} 0 0 {height:.2f} {x:.2f} {self.y:.2f} cm /I{sorted(self.images).index(r['image_part'])} Do Q")
+        page.images.add(r["image_part"])
+        if r["link"]:
+            page.links.append((x, self.y, x + width, self.y + height, r["link"]))
+        self.y -= self.setup.body * 0.5
+
+    def _text(self, runs: list[dict], size: float, indent: float, align: str, marker: str) -> None:
         width = self.setup.width - 2 * self.setup.margin - indent
         for n, line in enumerate(self.lines(runs, width, size)):
             self._room(size * 1.3)
@@ -126,23 +160,53 @@ class Layout:
         size, columns = self.setup.body, max(map(len, grid), default=0)
         if not columns:
             return
-        width = (self.setup.width - 2 * self.setup.margin) / columns
+        widths = self._widths(grid, columns, size)
+        head = grid[0] if len(grid) > 1 and all(c["covered"] or c["rows"] == 1 for c in grid[0]) else None
+        for n, row in enumerate(grid):
+            before = len(self.pages)
+            height = self._row_height(row, widths, size)
+            self._room(height + (self._row_height(head, widths, size) if head is not None and n else 0) * (self.y - height < self.setup.margin))
+            if head is not None and n and len(self.pages) > before:  # a table that goes on has its header again
+                self._row(head, widths, size)
+            self._row(row, widths, size)
+        self.y -= size
+
+    def _widths(self, grid: list[list[dict]], columns: int, size: float) -> list[float]:
+        """A column's narrowest width holds its longest word, its natural one its longest line; wide cells widen theirs evenly."""
+        narrow, natural, wide = [8.0] * columns, [8.0] * columns, []
         for row in grid:
-            cells = [self.lines(c["runs"], width * (c["cols"] or 1) - 8, size) if not c["covered"] else [] for c in row]
-            height = max(map(len, cells), default=1) * size * 1.3 + 6
-            self._room(height)
-            page, top = self.pages[-1], self.y
-            for i, (cell, lines) in enumerate(zip(row, cells)):
+            for i, cell in enumerate(row):
                 if cell["covered"]:
                     continue
-                x = self.setup.margin + i * width
-                page.items.append(f"{x:.2f} {top - height:.2f} {width * (cell['cols'] or 1):.2f} {height:.2f} re S")
-                for n, line in enumerate(lines):
-                    at = x + 4
-                    for piece in line:
-                        at += self._show(page, at, top - (n + 1) * size * 1.3, size, piece)
-            self.y -= height
-        self.y -= size
+                least = max((text_width(w, size, r["bold"]) for r in cell["runs"] for w in r["text"].split()), default=0) + 8
+                most = max((sum(text_width(p["text"], size, p["bold"]) for p in line) for line in self.lines(cell["runs"], 1e9, size)), default=0) + 8.01
+                if (span := cell["cols"] or 1) == 1:
+                    narrow[i], natural[i] = max(narrow[i], least), max(natural[i], most)
+                else:
+                    wide.append((i, min(i + span, columns), least, most))
+        for i, j, least, most in wide:
+            narrow[i:j], natural[i:j] = widened(narrow[i:j], least), widened(natural[i:j], most)
+        return column_widths(narrow, natural, self.setup.width - 2 * self.setup.margin)
+
+    def _cells(self, row: list[dict], widths: list[float], size: float) -> list[list]:
+        return [self.lines(c["runs"], sum(widths[i : i + (c["cols"] or 1)]) - 8, size) if not c["covered"] else [] for i, c in enumerate(row)]
+
+    def _row_height(self, row: list[dict], widths: list[float], size: float) -> float:
+        return max(map(len, self._cells(row, widths, size)), default=1) * size * 1.3 + 6
+
+    def _row(self, row: list[dict], widths: list[float], size: float) -> None:
+        height = self._row_height(row, widths, size)
+        page, top = self.pages[-1], self.y
+        for i, (cell, lines) in enumerate(zip(row, self._cells(row, widths, size))):
+            if cell["covered"]:
+                continue
+            x = self.setup.margin + sum(widths[:i])
+            page.items.append(f"{x:.2f} {top - height:.2f} {sum(widths[i : i + (cell['cols'] or 1)]):.2f} {height:.2f} re S")
+            for n, line in enumerate(lines):
+                at = x + 4
+                for piece in line:
+                    at += self._show(page, at, top - (n + 1) * size * 1.3, size, piece)
+        self.y -= height
 
     def place(self, blocks: list[dict], slides: bool) -> None:
         for b in blocks:
@@ -183,9 +247,9 @@ class Layout:
                     x += self._show(page, x, y, size, piece)
 
 
-def render(blocks: list[dict], slides: bool = False) -> tuple[bytes, list[str]]:
-    """A PDF and the characters that its fonts lack."""
-    layout = Layout(SLIDES if slides else DOCUMENT)
+def render(blocks: list[dict], slides: bool = False, images: dict[str, Picture | None] | None = None) -> tuple[bytes, list[str], int]:
+    """A PDF, the characters that its fonts lack, and how many of its images it leaves out."""
+    layout = Layout(SLIDES if slides else DOCUMENT, images)
     layout.place([b for b in blocks if b["section"] in ("body", "notes")], slides)
     for b in (b for b in blocks if b["section"] == "note"):
         first = {"text": f"[{b['section_no']}] ", "bold": False, "italic": False, "link": None, "kind": "text"}
@@ -193,17 +257,21 @@ def render(blocks: list[dict], slides: bool = False) -> tuple[bytes, list[str]]:
     for section, top in (("header", True), ("footer", False)):
         if own := [b for b in blocks if b["section"] == section]:
             layout.furniture(own, top)
-    return write(layout.pages, layout.setup), sorted(layout.missing)
+    return write(layout.pages, layout.setup, layout.images), sorted(layout.missing), len(layout.skipped)
 
 
-def write(pages: list[Page], setup: Setup) -> bytes:
+def write(pages: list[Page], setup: Setup, images: dict[str, Picture | None] | None = None) -> bytes:
     objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b""]
     fonts = []
     for name in FONTS.values():
         objects.append(f"<< /Type /Font /Subtype /Type1 /BaseFont /{name} /Encoding /WinAnsiEncoding >>".encode())
         fonts.append(len(objects))
     used = " ".join(f"/F{i} {n} 0 R" for i, n in enumerate(fonts))
-    kids = []
+    kids, places_of = [], {}
+    for number, part in enumerate(sorted(images or {})):
+        if (own := images[part]) is not None and any(part in page.images for page in pages):
+            objects.append(f"<< /Type /XObject /Subtype /Image /Width {own.width} /Height {own.height} {own.looks} /Length {len(own.data)} >>\nstream\n".encode() + own.data + b"\nendstream")
+            places_of[part] = f"/I{number} {len(objects)} 0 R"
     for page in pages:
         data = zlib.compress("\n".join(page.items).encode("latin-1"))
         objects.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(data), data))
@@ -212,7 +280,7 @@ def write(pages: list[Page], setup: Setup) -> bytes:
             safe = url.encode("utf-8").replace(b"\\", rb"\\").replace(b"(", rb"\(").replace(b")", rb"\)")
             objects.append(b"<< /Type /Annot /Subtype /Link /Border [0 0 0] /Rect [%.2f %.2f %.2f %.2f] /A << /S /URI /URI (%s) >> >>" % (x0, y0, x1, y1, safe))
             notes.append(f"{len(objects)} 0 R")
-        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {setup.width} {setup.height}] /Contents {content} 0 R /Resources << /Font << {used} >> >> /Annots [{' '.join(notes)}] >>".encode())
+        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {setup.width} {setup.height}] /Contents {content} 0 R /Resources << /Font << {used} >> /XObject << {' '.join(places_of[p] for p in sorted(page.images))} >> >> /Annots [{' '.join(notes)}] >>".encode())
         kids.append(f"{len(objects)} 0 R")
     objects[1] = f"<< /Type /Pages /Count {len(kids)} /Kids [{' '.join(kids)}] >>".encode()
     out, places = bytearray(b"%PDF-1.7\n"), []
@@ -224,16 +292,24 @@ def write(pages: list[Page], setup: Setup) -> bytes:
     return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, start))
 
 
-def pdf(blocks: DataFrame, slides: bool = False) -> DataFrame:
-    """(path, pages, missing, text): each document's PDF, laid out in one task."""
+def pdf(blocks: DataFrame, slides: bool = False, images: DataFrame | None = None) -> DataFrame:
+    """(path, pages, missing, more, skipped, text): each document's PDF, laid out in one task with its images (path, part, bytes).
+
+    missing has the first ten characters that the fonts lack, more the number of others, skipped the images left out.
+    """
     import json
 
     from pyspark.sql import functions as F
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key, frame: pd.DataFrame, shown: pd.DataFrame) -> pd.DataFrame:
         own = [json.loads(x) for x in frame.sort_values("seq")["block"]]
-        data, missing = render([{"level": None, "align": "left", "list_kind": None, "runs": [], "grid": []} | b for b in own], slides)
-        return pd.DataFrame({"path": [key[0]], "pages": [data.count(b"/Type /Page ")], "missing": ["".join(missing[:10])], "text": [data]})
+        pictures = {part: read_picture(bytes(data)) for part, data in zip(shown["part"], shown["bytes"])}
+        data, missing, skipped = render([{"level": None, "align": "left", "list_kind": None, "runs": [], "grid": []} | b for b in own], slides, pictures)
+        return pd.DataFrame({"path": [key[0]], "pages": [data.count(b"/Type /Page ")], "missing": ["".join(missing[:10])], "more": [max(0, len(missing) - 10)], "skipped": [skipped], "text": [data]})
 
     whole = blocks.select("path", "seq", F.to_json(F.struct("section", "section_no", "kind", "level", "align", "list_kind", "runs", "grid"), {"ignoreNullFields": "false"}).alias("block"))
-    return whole.groupBy("path").applyInPandas(run, "path string, pages int, missing string, text binary")
+    if images is None:
+        images = blocks.sparkSession.createDataFrame([], "path string, part string, bytes binary")
+    shown = images.select("path", "part", "bytes").join(blocks.select("path").distinct(), "path", "left_semi")
+    both = whole.groupBy("path").cogroup(shown.groupBy("path"))
+    return both.applyInPandas(run, "path string, pages int, missing string, more int, skipped int, text binary")

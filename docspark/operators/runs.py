@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.text import escape_text, escape_url, split_edges, ustrip
+from docspark.plans.ranges import running
 
 
 def merge_neighbours(df: DataFrame, by: list[str], order: list[str], same: list[str], text: str = "text", glue: str = "") -> DataFrame:
@@ -82,7 +83,6 @@ def first_of_each(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def running_budget(df: DataFrame, by: str, order: list[str], size: Column, limit: int) -> DataFrame:
-    """df with the sizes used before and with each row."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum(size).over(w)
-    return df.withColumn("used", used).withColumn("left", F.greatest(F.lit(0), F.lit(limit) - (used - size))).withColumn("over", used > limit)
+    """df with the sizes used before and with each row, range by range of the first order column."""
+    out = running(df.withColumn("_size", size), [by], order, used=("sum", F.col("_size")))
+    return out.withColumn("left", F.greatest(F.lit(0), F.lit(limit) - (F.col("used") - F.col("_size")))).withColumn("over", F.col("used") > limit).drop("_size")

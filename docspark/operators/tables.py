@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docspark.functions.numbers import float_text, json_number, json_text
 from docspark.functions.text import delimited_row, escape_cell, escape_text
+from docspark.plans.ranges import running
 
 CELL = "struct<kind:string,text:string,i:bigint,f:double,b:boolean>"
 
@@ -27,9 +28,10 @@ def cell(column: Column, kind: T.DataType) -> Column:
 
 
 def as_rows(df: DataFrame, order: list[str], path: str = "table") -> DataFrame:
-    """A DataFrame as table_rows (path, sheet_no, row_no, cells); row 0 is the header. Rows are numbered within the path."""
-    cells = F.array(*[cell(df[f.name], f.dataType) for f in df.schema.fields])
-    body = df.select(F.lit(path).alias("path"), F.lit(0).alias("sheet_no"), F.row_number().over(Window.partitionBy(F.lit(path)).orderBy(*order)).cast("long").alias("row_no"), cells.alias("cells"))
+    """A DataFrame as table_rows (path, sheet_no, row_no, cells); row 0 is the header. Rows are numbered range by range."""
+    cells = F.array(*[cell(F.col(f.name), f.dataType) for f in df.schema.fields])
+    made = df.select(F.lit(path).alias("path"), F.lit(0).alias("sheet_no"), F.struct(*order).alias("_order"), F.col(order[0]).alias("_first"), cells.alias("cells"))
+    body = running(made, ["path", "sheet_no"], ["_first", "_order"], row_no=("sum", F.lit(1).cast("long"))).select("path", "sheet_no", "row_no", "cells")
     head = F.array(*[cell(F.lit(c), T.StringType()) for c in df.columns])
     return df.sparkSession.range(1).select(F.lit(path).alias("path"), F.lit(0).alias("sheet_no"), F.lit(0).cast("long").alias("row_no"), head.alias("cells")).unionByName(body)
 
@@ -87,6 +89,5 @@ def json_rows(rows: DataFrame, keys: list[str], typed: bool = False) -> DataFram
 
 def cell_budget(rows: DataFrame, limit: int, by: str = "path", order: str = "row_no") -> DataFrame:
     """rows with the padded cells so far (widest row so far times rows so far) and whether that is over the limit."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    so_far = F.max(F.size("cells")).over(w).cast("long") * F.count(F.lit(1)).over(w)
-    return rows.withColumn("padded", so_far).withColumn("over", F.col("padded") > limit)
+    out = running(rows, [by], [order], _widest=("max", F.size("cells")), _rows=("sum", F.lit(1).cast("long")))
+    return out.withColumn("padded", F.col("_widest").cast("long") * F.col("_rows")).withColumn("over", F.col("padded") > limit).drop("_widest", "_rows")

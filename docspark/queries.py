@@ -13,6 +13,7 @@ from docspark.functions import text as X
 from docspark.functions.numbers import float_text, json_number
 from docspark.operators import documents, links, runs, tables
 from docspark.operators.names import file_names_column
+from docspark.operators.pdf_images import column_widths
 from docspark.plans.plan import OUTPUTS, Options
 from docspark.sources import files as sources
 from docspark.sources import samples
@@ -320,7 +321,7 @@ WITH w AS (SELECT source, doc_id, max(len(string_split(text, chr(10)))) OVER (PA
 SELECT source, doc_id, padded, padded > 500 AS over FROM w
 """)
 def cell_budget_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").select("source", "doc_id", F.split("text", "\n").alias("cells"))
+    own = table(spark, sf_dir, "documents").select("source", "doc_id", F.transform(F.split("text", "\n"), lambda _: F.lit(0)).alias("cells"))
     return tables.cell_budget(own, 500, by="source", order="doc_id").select("source", "doc_id", "padded", "over")
 
 
@@ -373,9 +374,10 @@ WITH w AS (SELECT source, doc_id, text, sum(length(text)) OVER (PARTITION BY sou
 SELECT source, doc_id, left(text, CAST(1000 - before AS BIGINT)) AS shown FROM w WHERE before < 1000
 """)
 def header_budget_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").select("source", "doc_id", "text", F.char_length("text").cast("long").alias("size"))
-    cut = runs.running_budget(own, "source", ["doc_id"], F.col("size"), 1000).filter("left > 0")
-    return cut.select("source", "doc_id", F.substring("text", F.lit(1), F.col("left").cast("int")).alias("shown"))
+    docs = table(spark, sf_dir, "documents")
+    own = docs.select("source", "doc_id", F.char_length("text").cast("long").alias("size"))
+    left = runs.running_budget(own, "source", ["doc_id"], F.col("size"), 1000).filter("left > 0").select("source", "doc_id", "left")
+    return docs.join(left, ["source", "doc_id"]).select("source", "doc_id", F.substring("text", F.lit(1), F.col("left").cast("int")).alias("shown"))
 
 
 @query("""
@@ -484,6 +486,29 @@ def _table_roundtrip(spark: SparkSession, sf_dir: str, write, name: str) -> Data
     return rows.select("path", "row_no", X.delimited_row(tables.texts(F.col("cells")), ",").alias("line"))
 
 
+_WIDE = "CAST(greatest(1, length(n_name)) AS DOUBLE)"
+
+
+@query(f"""
+WITH w AS (SELECT n_regionkey, list({_WIDE} ORDER BY n_nationkey) AS narrow, list(CAST(3 * length(n_name) + n_nationkey AS DOUBLE) ORDER BY n_nationkey) AS wishes, CAST(40 * (n_regionkey + 1) AS DOUBLE) AS room FROM nation GROUP BY 1),
+t AS (SELECT *, list_sum(narrow) AS least, list_sum(wishes) AS most FROM w)
+SELECT n_regionkey, list_transform(range(1, len(narrow) + 1), lambda i: round(CASE WHEN most <= room THEN wishes[i] WHEN least >= room THEN narrow[i] * room / least ELSE narrow[i] + (wishes[i] - narrow[i]) * (room - least) / (most - least) END, 6)) AS widths FROM t
+""")
+def pdf_column_widths_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The widths of a PDF table's columns in rooms from too narrow to wide."""
+
+    @F.pandas_udf("array<double>")
+    def fitted(columns, room):
+        import pandas as pd
+
+        made = [column_widths([c["a"] for c in own], [c["b"] for c in own], r) for own, r in zip((sorted(x, key=lambda c: c["k"]) for x in columns), room)]
+        return pd.Series([[round(w, 6) for w in own] for own in made])
+
+    one = F.struct(F.col("n_nationkey").alias("k"), F.char_length("n_name").cast("double").alias("a"), (3 * F.char_length("n_name") + F.col("n_nationkey")).cast("double").alias("b"))
+    own = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(one).alias("columns"))
+    return own.select("n_regionkey", fitted("columns", (40 * (F.col("n_regionkey") + 1)).cast("double")).alias("widths"))
+
+
 @query(_REGION_ROWS + "SELECT 'region-' || n_regionkey || '.xlsx' AS path, row_no, a || ',' || b AS line FROM every")
 def xlsx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table_roundtrip(spark, sf_dir, lambda rows: samples.workbook({"Sheet1": rows}), "xlsx")

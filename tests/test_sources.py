@@ -143,10 +143,32 @@ def test_pdf(spark, folder):
     assert set(made) == {"b.docx", "c.pptx"} and all(x.startswith(b"%PDF-1.7") and x.endswith(b"%%EOF\n") for x in made.values())
     assert made["c.pptx"].count(b"/Type /Page ") == 2 and b"https://x.y/a b" in made["b.docx"]
     many = [{"section": "body", "section_no": 0, "kind": "paragraph", "level": None, "align": "left", "list_kind": None, "grid": [], "runs": [{"text": "word " * 40, "bold": False, "italic": False, "link": None, "kind": "text"}]}] * 100
-    data, missing = pdf.render([*many, many[0] | {"runs": [many[0]["runs"][0] | {"text": "日本"}]}])
+    data, missing, _ = pdf.render([*many, many[0] | {"runs": [many[0]["runs"][0] | {"text": "日本"}]}])
     assert data.count(b"/Type /Page ") > 5 and missing == ["日", "本"]
 
 
+def test_pdf_images_and_widths(spark, folder):
+    from files import png
+
+    from docspark.operators.pdf_images import MOST_PIXELS, column_widths, read_picture, shown_size, widened
+
+    made = pdf.pdf(files.good(files.read_blocks(files.with_kind(files.scan(spark, folder + "/b.docx")))), images=files.good(files.read_images(files.with_kind(files.scan(spark, folder + "/b.docx"))))).first()
+    assert made.skipped == 0 and bytes(made.text).count(b"/Subtype /Image") == 1 and b"/XObject << /I0" in bytes(made.text)
+    small, huge = read_picture(png(4, 2)), png()[:16] + (100_000).to_bytes(4, "big") * 2 + png()[24:]
+    assert (small.width, small.height) == (4, 2) and read_picture(huge) is None and read_picture(b"GIF89a") is None and read_picture(b"\xff\xd8\xff\xe0") is None
+    assert 50_000 * 1_000 == MOST_PIXELS
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x10\x00\x20\x03"
+    assert read_picture(jpeg)[:2] == (32, 16) and "/DCTDecode" in read_picture(jpeg).looks
+    assert shown_size(small, None, 100, 100) == (3.0, 1.5) and shown_size(small, (12700 * 30, 12700 * 30), 100, 100) == (30.0, 15.0) and shown_size(small, (12700 * 300, 12700 * 300), 100, 100) == (100.0, 50.0)
+    assert column_widths([1, 2], [4, 4], 10) == [4, 4] and column_widths([1, 2], [4, 8], 6) == [2, 4] and column_widths([6, 6], [9, 9], 6) == [3, 3]
+    assert widened([1.0, 2.0], 5) == [2.0, 3.0] and widened([1.0, 2.0], 2) == [1.0, 2.0]
+    text = lambda t: [{"text": t, "bold": False, "italic": False, "link": None, "kind": "text"}]
+    grid = [[{"covered": False, "cols": 1, "rows": 1, "runs": text(t)} for t in row] for row in [["HEAD", "x"], *([str(i), "word " * 30] for i in range(80))]]
+    layout = pdf.Layout(pdf.DOCUMENT)
+    layout.table(grid)
+    assert len(layout.pages) > 2 and all(sum("(HEAD)" in item for item in page.items) == 1 for page in layout.pages)
+
+
 def test_plan_and_command(folder, tmp_path, capsys):
     assert plan("csv", Options("md")).to == "markdown"
     for kind, options, code in (("docx", Options("csv"), 64), ("xlsx", Options("csv", typed=True), 64), ("csv", Options("json", typed=True), 64), ("docx", Options("md", sheet="a"), 64), ("docx", Options("md", no_notes=True), 64), ("docx", Options("pdf", images="x"), 64), ("xlsx", Options("csv", sheet="a", all_sheets=True), 2)):
