@@ -25,10 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import SPACE, slices, word_spans
+from docspark.llm.common import LOWER, SPACE, slices, utf8, word_spans
 
 
 _NONE = 1 << 60
+#: Times that a few thousand documents must have a word to count it for the lexicon.
+OFTEN = 3
 #: Split as white space by Python but not by the tokenizer's pattern.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Below this, every code point is assigned.
@@ -319,7 +321,7 @@ class Lexicon:
             state[live] = self.target[slot]
         hit = (state >= 0) & (self.final[state] > 0)
         number = np.where(hit, number, 0)
-        return [self.ids[x:y].tobytes() if h else None for h, x, y in zip(hit.tolist(), self.begin[number].tolist(), self.begin[number + 1].tolist())]
+        return [self.ids[x:y].tobytes() if h else None for h, x, y in zip(hit.tolist(), self.begin[number].tolist(), self.begin[np.minimum(number + 1, len(self.begin) - 1)].tolist())]
 
 
 class Encoder:
@@ -329,7 +331,7 @@ class Encoder:
     merged where it lacks them.
     """
 
-    def __init__(self, model: Model, lexicon: Lexicon, most: int = 200_000):
+    def __init__(self, model: Model, lexicon: Lexicon, most: int = 300_000):
         self.model, self.lexicon, self.most = model, lexicon, most
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -423,17 +425,21 @@ def read_spec(path: str) -> dict:
 
 
 def frequent_words(docs: DataFrame, model: Model, most: int) -> list[bytes]:
-    """The words that most often stand between white space in all documents, ``most`` at most.
+    """The words that most often stand between white space in all documents, ``most`` at most, by their bytes with A-Z in lower case.
 
-    Every few thousand documents send their ``most`` most frequent ones with their counts, which are added up.
+    Every few thousand documents send the words that they have OFTEN times or more, with their counts, which are added up.
     """
 
     def run(batches):
         for part in itertools.chain.from_iterable(map(slices, batches)):
-            distinct, codes, _, _ = model.chunks([t or "" for t in part.column("text").to_pylist()])
-            counts = np.bincount(codes, minlength=len(distinct))
-            top = np.argsort(-counts, kind="stable")[:most]
-            yield pa.RecordBatch.from_arrays([distinct.take(pa.array(top)).cast(pa.binary()), pa.array(counts[top], pa.int64())], ["word", "n"])
+            data, at = utf8(part.column("text"))
+            data = LOWER[data]
+            starts, ends, _ = word_spans(data, at)
+            offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+            words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~SPACE[data]])]).dictionary_encode()
+            counts = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+            top = np.flatnonzero(counts >= OFTEN)
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(top)).cast(pa.binary()), pa.array(counts[top], pa.int64())], ["word", "n"])
 
     counts = docs.select("text").mapInArrow(run, "word binary, n long").filter(F.length("word") <= 64).groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("word").cast("string").rlike(r"^\p{L}+$")).orderBy(F.desc("n"), "word").limit(most).select("word").collect()

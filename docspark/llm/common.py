@@ -149,7 +149,7 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def slices(batch: pa.RecordBatch, rows: int = 3000, size: int = 5_000_000):
+def slices(batch: pa.RecordBatch, rows: int = 5000, size: int = 7_000_000):
     """Parts of a batch, each of at most ``rows`` rows and ``size`` bytes of text, or of one longer text."""
     ends, at = utf8(batch.column("text"))[1], 0
     while at < batch.num_rows:

@@ -252,7 +252,7 @@ def pack_documents(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")
     counts = counts.select("length", "bucket", before.alias("before"))
     ranked = pieces.withColumn("row", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start")))
-    ranked = ranked.join(counts, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("row") - 1)
+    ranked = ranked.join(counts.hint("merge"), ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("row") - 1)
 
     def place(batches):
         length, lo, _, sequence, offset = spots.value.T

@@ -289,6 +289,7 @@ def test_bpe(docs, texts, none):
     model = bpe.Model(bpe.read_spec(queries.word_bpe()))
     lexicon = bpe.Lexicon(bpe.compile_lexicon({w: model.merge(w) for w in (b"the", b"them", b"then", b"hen", b"a")}))
     assert lexicon.find([b"them", b"th", b"thenx", b"", b"a"]) == [struct.pack("<I", *model.merge(b"them")), None, None, None, struct.pack("<I", *model.merge(b"a"))]
+    assert bpe.Lexicon(bpe.compile_lexicon({})).find([b"a", b"", b"them"]) == [None] * 3
     encoder = bpe.Encoder(model, lexicon, most=50)
     for t in more.values():
         ids = own.encode(t or "", add_special_tokens=False).ids
