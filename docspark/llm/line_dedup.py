@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.llm.common import stored
+
 _STRIPPED = " \t\n\x0b\f\r"
 
 
@@ -31,6 +33,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     document. A null or empty text is one empty line, and an empty line has no key, so it always stays. ``row`` has
     all columns but text as they were, whatever their names; a very long text is split whole; an empty table gives an
     empty result.
+
+    The common keys are a stored table, so that Spark knows their size: it broadcasts a small one, and otherwise both
+    sides of the join are shuffles of its own, in which it splits the partition of a frequent line.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
     lines = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
@@ -39,7 +44,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     key = F.coalesce(F.unhex(F.md5(line_key(F.col("line")))), F.lit(b""))
     keyed = long_enough.select("doc_id", "text_hash", "at", key.alias("key"))
     seen = keyed.groupBy("key", "doc_id").count().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    common = seen.filter(F.col("n") >= min_docs).select("key")
+    common = stored(seen.filter(F.col("n") >= min_docs).select("key"), "common_lines")
     hits = keyed.join(common, "key", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("at"))
     hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "at")
     own = own.withColumn("text_hash", F.xxhash64("text"))
