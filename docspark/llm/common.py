@@ -198,9 +198,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b): rows (id, component) with the smallest id reachable.
 
     Alternating large-star and small-star rounds of equi-joins and grouped minima; each round's edges are a stored
-    table, and rounds end when count and checksum of the edges stay. A hub's edges are never gathered in one place.
-    Edges with a null end or from a node to itself count for nothing.
+    table, and rounds end when count and checksum of the edges stay. The minima are dealt anew by ``k``, equal to the
+    node but not the column they were grouped by, as Spark splits a skewed join only between two shuffles of its own;
+    so a hub's edges can be split. Edges with a null end or from a node to itself count for nothing.
     """
+    same = F.bitwise_not(F.bitwise_not("a"))
     now, before = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name), None
     while True:
         state = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1L))")).first()
@@ -208,11 +210,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
         before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = stored(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct(), name)
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).select(same.alias("k"), "m")
+        large = both.filter("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("m")).select(same.alias("k"), "m")
+        small = large.join(down, F.col("a") == F.col("k")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = stored(small.unionByName(down.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), name)
         unstore(now)
         now = after
 
