@@ -6,9 +6,11 @@ shown as question marks and reported. Images that cannot be taken as they are sh
 
 from __future__ import annotations
 
+import re
 import zlib
-from dataclasses import dataclass, field
-from itertools import groupby
+from bisect import bisect_right
+from dataclasses import dataclass, field, replace
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +25,8 @@ WIDTHS = [
 ]
 FONTS = {(False, False): "Helvetica", (True, False): "Helvetica-Bold", (False, True): "Helvetica-Oblique", (True, True): "Helvetica-BoldOblique"}
 SCALES = {1: 2.0, 2: 1.6, 3: 1.3, 4: 1.15, 5: 1.05, 6: 1.0}
+#: Where a line may end within a word: after a hyphen between letters, after a dash, between ideographs or kana.
+BREAKS = re.compile(r"(?<=[^\W\d_]-)(?=[^\W\d_])|(?<=[–—])(?=\w)|(?<=[぀-ヿ㐀-鿿])(?=[぀-ヿ㐀-鿿])")
 #: Characters of a header or footer that are repeated on each page.
 FURNITURE_LIMIT = 1000
 
@@ -49,6 +53,28 @@ class Page:
     images: set[str] = field(default_factory=set)
 
 
+@dataclass
+class Box:
+    """A cell in its place: the first of its rows, how many it takes, and its lines."""
+
+    row: int
+    rows: int
+    x: float
+    width: float
+    lines: list[list[dict]]
+
+
+def bands(rows: list[list[Box]]) -> list[range]:
+    """Ranges of rows whose borders no cell crosses, each as small as can be."""
+    out, start, reach = [], 0, 0
+    for i, row in enumerate(rows):
+        reach = max([reach, i + 1, *(i + b.rows for b in row)])
+        if reach == i + 1:
+            out.append(range(start, reach))
+            start = reach
+    return out
+
+
 class Layout:
     """Places blocks from top to bottom and starts a page where one is full."""
 
@@ -76,7 +102,7 @@ class Layout:
 
     @staticmethod
     def lines(runs: list[dict], width: float, size: float) -> list[list[dict]]:
-        """Runs broken at spaces and line ends so that each line fits; a word that is too long is broken."""
+        """Runs broken at line ends, spaces and BREAKS so that each line fits; a word that is too long is broken."""
         out, line, used = [], [], 0.0
 
         def put(piece: str, r: dict) -> None:
@@ -93,18 +119,23 @@ class Layout:
                 if n:
                     out.append(line)
                     line, used = [], 0.0
-                for i, word in enumerate(part.split(" ")):
-                    gap = " " if i else ""
-                    if line and used + text_width(gap + word, size, r["bold"]) > width:
+                bits = [(bit, i and not k) for i, word in enumerate(part.split(" ")) for k, bit in enumerate(BREAKS.split(word))]
+                for bit, after in bits:
+                    gap = " " if after else ""
+                    if line and used + text_width(gap + bit, size, r["bold"]) > width:
                         out.append(line)
                         line, used, gap = [], 0.0, ""
-                    while text_width(word, size, r["bold"]) > width and len(word) > 1:
-                        fit = max(1, next((k for k in range(len(word), 0, -1) if text_width(word[:k], size, r["bold"]) <= width), 1))
-                        put(gap + word[:fit], r)
-                        out.append(line)
-                        line, used, gap, word = [], 0.0, "", word[fit:]
-                    if gap + word:
-                        put(gap + word, r)
+                    if len(bit) > 1 and text_width(bit, size, r["bold"]) > width:
+                        ends = list(accumulate(text_width(c, size, r["bold"]) for c in bit))
+                        start = 0
+                        while len(bit) - start > 1 and ends[-1] - (ends[start - 1] if start else 0) > width:
+                            stop = max(start + 1, bisect_right(ends, width + (ends[start - 1] if start else 0), start))
+                            put(gap + bit[start:stop], r)
+                            out.append(line)
+                            line, used, gap, start = [], 0.0, "", stop
+                        bit = bit[start:]
+                    if gap + bit:
+                        put(gap + bit, r)
         return [*out, line]
 
     def runs(self, runs: list[dict], size: float, indent: float = 0, align: str = "left", marker: str = "") -> None:
@@ -157,20 +188,94 @@ class Layout:
         return f"{self.counters[level]}." if numbered else "•" if level % 2 == 0 else "-"
 
     def table(self, grid: list[list[dict]]) -> None:
-        size, columns = self.setup.body, max(map(len, grid), default=0)
+        """Rows from top to bottom; those that a cell of several rows joins stay on one page.
+
+        Joined rows that no page holds are drawn apart, the cell's text in the first; a row that no page holds goes on from
+        page to page by lines. On each page that a table goes on to, its header comes again, unless it is over half a page
+        high. A header is bold; cells that a short row lacks are empty.
+        """
+        size, columns, count = self.setup.body, max(map(len, grid), default=0), len(grid)
         if not columns:
             return
-        widths = self._widths(grid, columns, size)
-        head = grid[0] if len(grid) > 1 and all(c["covered"] or c["rows"] == 1 for c in grid[0]) else None
-        for n, row in enumerate(grid):
-            before = len(self.pages)
-            height = self._row_height(row, widths, size)
-            self._room(height + (self._row_height(head, widths, size) if head is not None and n else 0) * (self.y - height < self.setup.margin))
-            if head is not None and n and len(self.pages) > before:  # a table that goes on has its header again
-                self._row(head, widths, size)
-            self._row(row, widths, size)
+        empty = {"covered": False, "cols": 1, "rows": 1, "runs": []}
+        grid = [[*row, *[empty] * (columns - len(row))] for row in grid]
+        grid[0] = [c | {"runs": [r | {"bold": True} for r in c["runs"] or []]} for c in grid[0]]
+        rows = self._boxes(grid, self._widths(grid, columns, size), size)
+        heights = self._heights(rows, size)
+        whole = self.setup.height - 2 * self.setup.margin
+        head = rows[0] if count > 1 and all(b.rows == 1 for b in rows[0]) and heights[0] <= whole / 2 else None
+        room = whole - (heights[0] if head is not None else 0)
+        apart = [band for band in bands(rows) if len(band) > 1 and sum(heights[i] for i in band) > room]
+        if apart:
+            for i in (i for band in apart for i in band):
+                for b in [b for b in rows[i] if b.rows > 1]:
+                    for below in range(i + 1, i + b.rows):
+                        rows[below].append(Box(below, 1, b.x, b.width, []))
+                    b.rows = 1
+            heights = self._heights(rows, size)
+        for band in bands(rows):
+            again = head if band.start else None
+            height = sum(heights[i] for i in band)
+            if height > (room if band.start else whole):
+                self._long_row(rows[band.start], again, heights[0], size)
+                continue
+            if self.y - height < self.setup.margin:
+                self._next_page(again, heights[0], size)
+            top = self.y
+            for i in band:
+                for b in rows[i]:
+                    self._box(b, top, sum(heights[i : i + b.rows]), size)
+                top -= heights[i]
+            self.y = top
         self.y -= size
 
+    def _boxes(self, grid: list[list[dict]], widths: list[float], size: float) -> list[list[Box]]:
+        rows = []
+        for i, row in enumerate(grid):
+            rows.append([])
+            for j, cell in enumerate(row):
+                if not cell["covered"]:
+                    width = sum(widths[j : j + (cell["cols"] or 1)])
+                    taken = min(max(1, cell["rows"] or 1), len(grid) - i)
+                    rows[i].append(Box(i, taken, self.setup.margin + sum(widths[:j]), width, self.lines(cell["runs"], width - 8, size)))
+        return rows
+
+    @staticmethod
+    def _heights(rows: list[list[Box]], size: float) -> list[float]:
+        """Rows as high as their cells ask for; what a cell of several rows lacks is shared by its rows."""
+        heights = [size * 1.3 + 6] * len(rows)
+        for b in sorted((b for row in rows for b in row), key=lambda b: b.rows):
+            heights[b.row : b.row + b.rows] = widened(heights[b.row : b.row + b.rows], len(b.lines) * size * 1.3 + 6)
+        return heights
+
+    def _next_page(self, head: list[Box] | None, height: float, size: float) -> None:
+        self.pages.append(Page())
+        self.y = self.setup.height - self.setup.margin
+        for b in head or []:
+            self._box(b, self.y, height, size)
+        self.y -= height if head else 0
+
+    def _long_row(self, row: list[Box], head: list[Box] | None, height: float, size: float) -> None:
+        at, most = 0, max(len(b.lines) for b in row)
+        while at < most:
+            fit = min(int((self.y - self.setup.margin - 6) / (size * 1.3)), most - at)
+            if fit < 1:
+                self._next_page(head, height, size)
+                continue
+            own = fit * size * 1.3 + 6
+            for b in row:
+                self._box(replace(b, lines=b.lines[at : at + fit]), self.y, own, size)
+            self.y -= own
+            at += fit
+
+    def _box(self, b: Box, top: float, height: float, size: float) -> None:
+        page = self.pages[-1]
+        page.items.append(f"{b.x:.2f} {top - height:.2f} {b.width:.2f} {height:.2f} re S")
+        for n, line in enumerate(b.lines, 1):
+            at = b.x + 4
+            for piece in line:
+                at += self._show(page, at, top - n * size * 1.3, size, piece)
+
     def _widths(self, grid: list[list[dict]], columns: int, size: float) -> list[float]:
         """A column's narrowest width holds its longest word, its natural one its longest line; wide cells widen theirs evenly."""
         narrow, natural, wide = [8.0] * columns, [8.0] * columns, []
@@ -188,26 +293,6 @@ class Layout:
             narrow[i:j], natural[i:j] = widened(narrow[i:j], least), widened(natural[i:j], most)
         return column_widths(narrow, natural, self.setup.width - 2 * self.setup.margin)
 
-    def _cells(self, row: list[dict], widths: list[float], size: float) -> list[list]:
-        return [self.lines(c["runs"], sum(widths[i : i + (c["cols"] or 1)]) - 8, size) if not c["covered"] else [] for i, c in enumerate(row)]
-
-    def _row_height(self, row: list[dict], widths: list[float], size: float) -> float:
-        return max(map(len, self._cells(row, widths, size)), default=1) * size * 1.3 + 6
-
-    def _row(self, row: list[dict], widths: list[float], size: float) -> None:
-        height = self._row_height(row, widths, size)
-        page, top = self.pages[-1], self.y
-        for i, (cell, lines) in enumerate(zip(row, self._cells(row, widths, size))):
-            if cell["covered"]:
-                continue
-            x = self.setup.margin + sum(widths[:i])
-            page.items.append(f"{x:.2f} {top - height:.2f} {sum(widths[i : i + (cell['cols'] or 1)]):.2f} {height:.2f} re S")
-            for n, line in enumerate(lines):
-                at = x + 4
-                for piece in line:
-                    at += self._show(page, at, top - (n + 1) * size * 1.3, size, piece)
-        self.y -= height
-
     def place(self, blocks: list[dict], slides: bool) -> None:
         for b in blocks:
             kind = b["kind"]

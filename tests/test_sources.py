@@ -169,6 +169,40 @@ def test_pdf_images_and_widths(spark, folder):
     assert len(layout.pages) > 2 and all(sum("(HEAD)" in item for item in page.items) == 1 for page in layout.pages)
 
 
+def test_pdf_rows_and_lines():
+    text = lambda t: [{"text": t, "bold": False, "italic": False, "link": None, "kind": "text"}]
+    cell = lambda t, rows=1, covered=False: {"covered": covered, "cols": 1, "rows": rows, "runs": text(t)}
+    lines = lambda t, width: ["".join(p["text"] for p in line) for line in pdf.Layout.lines(text(t), width, 10)]
+
+    def drawn(grid):
+        layout = pdf.Layout(pdf.DOCUMENT)
+        layout.table(grid)
+        boxes = [[tuple(map(float, i.split()[:4])) for i in page.items if i.endswith("re S")] for page in layout.pages]
+        assert all(y >= pdf.DOCUMENT.margin - 0.01 for page in boxes for _, y, _, _ in page)
+        return layout, boxes
+
+    long = "\n".join(f"n{i}" for i in range(200))  # a row that no page holds goes on, with its header, and loses no line
+    layout, boxes = drawn([[cell("HEAD"), cell("x")], [cell(long), cell("y")]])
+    shown = [i for page in layout.pages for i in page.items]
+    assert all(sum(f"(n{i})" in item for item in shown) == 1 for i in range(200)) and all(any("(HEAD)" in i for i in page.items) for page in layout.pages)
+    _, boxes = drawn([[cell("a", 2), cell("b")], [cell("", covered=True), cell("c")]])  # a cell of two rows is as high as both
+    (_, _, _, both), (_, _, _, one), (_, _, _, other) = boxes[0]
+    assert both == pytest.approx(one + other, abs=0.02)
+    joined = [[cell(f"r{i}", 2), cell(f"s{i}")] if i % 2 == 0 else [cell("", covered=True), cell(f"s{i}")] for i in range(101)]
+    layout, _ = drawn(joined)  # rows that a cell joins are on one page
+    where = {name: n for n, page in enumerate(layout.pages) for item in page.items for name in [item.partition("(")[2].partition(")")[0]] if name}
+    assert len(layout.pages) > 2 and all(where[f"s{i}"] == where[f"s{i + 1}"] == where[f"r{i}"] for i in range(0, 100, 2))
+    layout, boxes = drawn([[cell("h"), cell("k")], [cell("tall", 150), cell("0")], *([cell("", covered=True), cell(str(i))] for i in range(1, 150))])
+    assert sum(map(len, boxes)) == 302 + 2 * (len(layout.pages) - 1)  # drawn apart, every cell with a border, headers again
+    assert [[b.rows for b in row] for row in layout._boxes([[cell("a", 9)]], [50.0], 10)] == [[1]]
+    assert lines("well-known fact", 30) == ["well-", "known", "fact"] and lines("a 33-44", 30) == ["a", "33-44"]
+    assert "".join(lines("日本語" * 9, 40)) == "日本語" * 9 and all(pdf.text_width(x, 10) <= 40 for x in lines("日本語" * 9, 40))
+    layout, boxes = drawn([[cell("a"), cell("b")], [cell("c")]])  # a short row has empty cells, a header is bold
+    assert len(boxes[0]) == 4 and [("/F1 " in i) for i in layout.pages[0].items if "BT" in i] == [True, True, False]
+    word = "Wil" * 50_000  # a very long word, in linear time
+    assert "".join(cut := lines(word, 100)) == word and all(pdf.text_width(x, 10) <= 100.001 for x in cut)
+
+
 def test_plan_and_command(folder, tmp_path, capsys):
     assert plan("csv", Options("md")).to == "markdown"
     for kind, options, code in (("docx", Options("csv"), 64), ("xlsx", Options("csv", typed=True), 64), ("csv", Options("json", typed=True), 64), ("docx", Options("md", sheet="a"), 64), ("docx", Options("md", no_notes=True), 64), ("docx", Options("pdf", images="x"), 64), ("xlsx", Options("csv", sheet="a", all_sheets=True), 2)):
