@@ -59,6 +59,14 @@ def unstore(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage: what finished rounds broadcast and shuffled goes, and the heap shrinks.
+
+    Spark frees both only when the driver's references to them are collected; until then a small heap grows to its limit.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     with np.errstate(over="ignore"):
@@ -217,6 +225,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         after = stored(small.unionByName(down.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), name)
         unstore(now)
         now = after
+        del both, least, large, down, small  # plans that hold this round's broadcasts
+        collect_garbage(now.sparkSession)
 
 
 def sorted_groups(batches, key: str):

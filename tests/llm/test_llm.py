@@ -512,3 +512,20 @@ def test_digest_columns(spark):
     assert set(queries.ORACLE) <= set(queries.QUERIES)
     assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} == set(range(1, 11))
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).selectExpr("sha2(cast('' AS binary), 256) AS h").first().h
+
+
+def test_components_free_finished_rounds(spark):
+    import time
+
+    from docspark.llm.common import components
+
+    held = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    before = held.size()
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    found = components(edges)
+    for _ in range(50):
+        if held.size() <= before + 4:
+            break
+        time.sleep(0.2)
+    assert held.size() <= before + 4  # those of the last count; shuffles of rounds whose edges are stored are gone
+    assert {(r.id, r.component) for r in found.collect()} == {(i, 0) for i in range(1, 61)}
